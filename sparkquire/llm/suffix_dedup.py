@@ -17,12 +17,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, release
 from .textops import BASE, CHUNK, U, chunks, mix
 
 LENGTH, ANCHOR = 50, 16
 MOST = 2 * LENGTH - ANCHOR
 WIDE = (MOST + 7) // 8 * 8
-BATCH_BYTES, SHARD_BYTES, LEVEL = 4 << 20, 12 << 20, 1 << 16
+BATCH_BYTES, SHARD_BYTES, LEVEL, PACK = 8 << 20, 12 << 20, 1 << 16, 5
 SLICE = 4 << 20
 _HALF = U((1 << 38) - 1) << U(26)
 _ROW = np.random.default_rng(50).integers(1 << 63, size=WIDE // 8, dtype=U) | U(1)
@@ -114,18 +115,18 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _segments(shards: int):
-    """For each shard a packed load of segments (shard >= 0), and intervals already settled in this batch (shard -1)."""
+    """For each shard a packed load of segments (doc_id null), and intervals already settled in this batch, which only pass through a shard."""
 
     def settle(held):
         doc, mark, pos, size, off, anchor, rows = (np.concatenate(x) for x in zip(*held))
         order, new = _same(rows, size)
         later = _later(doc, order, new)
-        out = [(-1, *r) for r in _joined(doc[later], mark[later], pos[later], pos[later] + size[later])]
+        out = [(r[0] % shards, *r) for r in _joined(doc[later], mark[later], pos[later], pos[later] + size[later])]
         shard = (mix(anchor ^ U(BASE)) % U(shards)).astype(np.int64)
         keep = np.flatnonzero(~later)
         keep = keep[np.argsort(shard[keep], kind="stable")]
         cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=PACK)
         for s in np.flatnonzero(np.diff(cuts)):
             at = keep[cuts[s] : cuts[s + 1]]
             body = rows[at][np.arange(WIDE) < size[at][:, None]]
@@ -235,7 +236,11 @@ def _several(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _shard(table: pa.Table) -> pa.Table:
     """The intervals that one shard finds: equal segments at once, the rest window by window in suffix arrays."""
-    doc, mark, pos, size, off, rows = (np.concatenate(x) for x in zip(*(_unpack(x) for x in table.column("load").to_pylist())))
+    settled = table.filter(table.column("doc_id").is_valid())
+    loads = table.filter(table.column("doc_id").is_null()).column("load").to_pylist()
+    if not loads:
+        return settled
+    doc, mark, pos, size, off, rows = (np.concatenate(x) for x in zip(*map(_unpack, loads)))
     at = off[:, None] + np.arange(ANCHOR)
     anchor = mix((np.take_along_axis(rows, at, 1).view(U) * _ROW[:2]).sum(1))
     use = np.flatnonzero(_several(anchor, doc))
@@ -262,21 +267,23 @@ def _shard(table: pa.Table) -> pa.Table:
                 found.append((doc[seg], mark[seg], pos[seg] + into, pos[seg] + into + LENGTH))
             a = b
     rows_out = [(-1, *r) for r in _joined(*(np.concatenate(x) for x in zip(*found)))] if found else []
-    return pa.Table.from_batches([_out(rows_out)])
+    return pa.concat_tables([settled, pa.Table.from_batches([_out(rows_out)])])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column quire_spans: loads of the byte intervals to remove, null where there are none."""
+def _spans(docs: DataFrame) -> DataFrame:
+    """quire_id, quire_mark (a hash of the text), quire_spans, of each text that loses bytes; in the shared folder."""
     schema = "shard long, doc_id long, mark long, load binary"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(64, -(-total // SHARD_BYTES))
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    from .common import checkpointed
+    found = keyed.mapInArrow(_segments(shards), schema).groupBy("shard").applyInArrow(_shard, schema)
+    return checkpointed(found.groupBy(F.col("doc_id").alias("quire_id"), F.col("mark").alias("quire_mark")).agg(F.collect_list("load").alias("quire_spans")))
 
-    parts = checkpointed(keyed.mapInArrow(_segments(shards), schema))
-    found = parts.where("shard >= 0").groupBy("shard").applyInArrow(_shard, schema)
-    spans = parts.where("shard < 0").unionByName(found).groupBy("doc_id", "mark").agg(F.collect_list("load").alias("quire_spans"))
-    spans = spans.withColumnRenamed("doc_id", "quire_id").withColumnRenamed("mark", "quire_mark")
+
+def with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column quire_spans: loads of the byte intervals to remove, null where there are none."""
+    spans = _spans(docs)
+    release(docs.sparkSession)
     return docs.join(spans, (F.col("doc_id").cast("long") == F.col("quire_id")) & (F.xxhash64("text") == F.col("quire_mark")), "left").drop("quire_id", "quire_mark")
 
 
