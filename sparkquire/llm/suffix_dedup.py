@@ -23,7 +23,8 @@ from .textops import BASE, CHUNK, U, chunks, mix
 LENGTH, ANCHOR = 50, 16
 MOST = 2 * LENGTH - ANCHOR
 WIDE = (MOST + 7) // 8 * 8
-BATCH_BYTES, SHARD_BYTES, LEVEL, PACK = 8 << 20, 12 << 20, 1 << 16, 5
+SIDE = (LENGTH - ANCHOR) // 2
+BATCH_BYTES, SHARD_BYTES, LEVEL, PACK = 8 << 20, 6 << 20, 1 << 16, 5
 SLICE = 4 << 20
 _HALF = U((1 << 38) - 1) << U(26)
 _ROW = np.random.default_rng(50).integers(1 << 63, size=WIDE // 8, dtype=U) | U(1)
@@ -234,6 +235,18 @@ def _several(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _meeting(rows: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Segments that may share a window with another document: a shared window reaches SIDE bytes beyond the anchor on one side at least, so that side and the anchor are shared too."""
+    out = np.zeros(len(doc), bool)
+    for begin, have in ((off, size - off >= ANCHOR + SIDE), (off - SIDE, off >= SIDE)):
+        k = np.flatnonzero(have)
+        if len(k):
+            part = np.zeros((len(k), 40), np.uint8)
+            part[:, : ANCHOR + SIDE] = np.take_along_axis(rows[k], begin[k, None] + np.arange(ANCHOR + SIDE), 1)
+            out[k] |= _several(mix((part.view(U) * _ROW[:5]).sum(1)), doc[k])
+    return out
+
+
 def _shard(table: pa.Table) -> pa.Table:
     """The intervals that one shard finds: equal segments at once, the rest window by window in suffix arrays."""
     settled = table.filter(table.column("doc_id").is_valid())
@@ -244,14 +257,15 @@ def _shard(table: pa.Table) -> pa.Table:
     at = off[:, None] + np.arange(ANCHOR)
     anchor = mix((np.take_along_axis(rows, at, 1).view(U) * _ROW[:2]).sum(1))
     use = np.flatnonzero(_several(anchor, doc))
+    use = use[_meeting(rows[use], size[use], off[use], doc[use])] if len(use) else use
     found = []
     if len(use):
-        doc, mark, pos, size, rows, anchor = (x[use] for x in (doc, mark, pos, size, rows, anchor))
+        doc, mark, pos, size, off, rows = (x[use] for x in (doc, mark, pos, size, off, rows))
         later = _later(doc, *_same(rows, size))
         found.append((doc[later], mark[later], pos[later], pos[later] + size[later]))
         left = np.flatnonzero(~later)
         if len(left):
-            left = left[_several(anchor[left], doc[left])]
+            left = left[_meeting(rows[left], size[left], off[left], doc[left])]
         left = left[np.lexsort((pos[left], doc[left]))]
         family, count = Family(), size[left] - LENGTH + 1
         cuts = np.searchsorted(np.cumsum(count), np.arange(LEVEL, int(count.sum()) + LEVEL, LEVEL), "left") + 1
