@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ..operators import chunking, geometry, graph, jobs, manifest, records, scalars  # noqa: F401  each module registers its own
+from ..streaming import feeds  # noqa: F401
+from . import registry
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
