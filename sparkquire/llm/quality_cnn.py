@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, fold, labelled_docs
+from .common import bounded_labels, checkpointed, fold, labelled_docs
 from .textops import chunks
 
 SAMPLE = 6000
@@ -129,10 +129,8 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = SAMPLE) -> Net | None:
     """The network, trained on the driver on at most ``rows`` labelled whole texts outside the held-out fold; None without labels."""
     pairs = bounded_labels(labels, column, rows)
-    got = labelled_docs(docs, pairs).toPandas().sort_values("doc_id", kind="stable") if pairs else ()
-    if not len(got):
-        return None
-    return train([t.encode() for t in got.text], (got.label > 0).to_numpy())
+    got = sorted((r.doc_id, r.label > 0, r.text.encode()) for r in checkpointed(labelled_docs(docs, pairs)).toLocalIterator()) if pairs else []
+    return train([t for _, _, t in got], np.array([y for _, y, _ in got])) if got else None
 
 
 def _scorer(net: Net | None):

@@ -7,11 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, fold, labelled_docs
+from .common import bounded_labels, checkpointed, fold, labelled_docs
 from .textops import BASE, U, chunks, hasher, spans
 
 BITS = 20
-SAMPLE = 12_000
+SAMPLE = 8_000
 
 
 def grams(data: np.ndarray, offs: np.ndarray):
@@ -61,6 +61,8 @@ class FTRL:
         return np.where(np.abs(z) <= self.l1, 0.0, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
+        """One case: its distinct coordinates, each with value 1; the last of all, the bias, joins them."""
+        at = np.append(at, len(self.z) - 1)
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
@@ -79,8 +81,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
     if not pairs:
         return np.zeros(0, np.int64), np.zeros(0)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = labelled_docs(docs, pairs).mapInArrow(_features, f"doc_id {kind}, label int, features binary").toPandas().sort_values("doc_id", kind="stable")
-    cases = [(np.append(np.frombuffer(f, np.int32), 1 << BITS), int(y > 0)) for f, y in zip(got.features, got.label)]
+    found = checkpointed(labelled_docs(docs, pairs).mapInArrow(_features, f"doc_id {kind}, label int, features binary"))
+    cases = sorted((r.doc_id, int(r.label > 0), bytes(r.features)) for r in found.toLocalIterator())
+    cases = [(np.frombuffer(f, np.int32), y) for _, y, f in cases]
     model, order = FTRL((1 << BITS) + 1), np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(cases)):
