@@ -132,12 +132,15 @@ def features(page: list[tuple[str, tuple, int, int]]) -> tuple[np.ndarray, np.nd
     """(block, feature) pairs: ancestor tags and their class words, the innermost ones by depth, and binned shape of the text."""
     row, column = [], []
     memo: dict[tuple, list[int]] = {}
+    central = lambda over: any(t in ("article", "main") for t, _ in over)
+    marked = any(central(over) for _, over, _, _ in page)
     for k, (text, over, links, inside) in enumerate(page):
         codes = memo.get(over)
         if codes is None:
             names = {f"t:{t}" for t, _ in over if t not in ("html", "body", "b", "i", "em", "strong", "span", "u", "font")}
             names |= {f"c:{w}" for _, ws in over for w in ws}
             shut = [t for t, _ in over if t in BLOCK]
+            names.add("a:in" if central(over) else "a:out" if marked else "a:none")
             names |= {f"1:{shut[-1]}" if shut else "1:", f"2:{'/'.join(shut[-2:])}"}
             codes = memo[over] = [_code(n) for n in names]
         n = len(text)
@@ -222,7 +225,7 @@ def train(pages: list[tuple[list, list[int]]], epochs: int = 6, rate: float = 0.
     return model
 
 
-def fitted(pages: int = 600) -> CRF:
+def fitted(pages: int = 1200) -> CRF:
     """The field trained on ``pages`` labelled pages of `html_labels`, the documented bound of the training set."""
     return train([([b[:4] for b in found], labels) for found, labels in ((lambda p: _label(*p))(p) for p in labelled_pages(pages))])
 

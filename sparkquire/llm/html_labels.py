@@ -105,7 +105,8 @@ class Maker:
             body = f"<label>{self.words(1, 4)}</label><input name=q><button>{self.words(1, 2)}</button>" + (f"<p>{self.words(3, 12, '.')}</p>" if r.random() < 0.4 else "")
             tag = "form"
         elif part == "comments":
-            body = f"<h3>{r.randint(1, 40)} {self.words(1, 2)}</h3>" + "".join(f"<{'li' if k else 'div'} class=\"comment\"><b>{self.words(1, 2)}</b><p>{self.sentences(1, 4)}</p></{'li' if k else 'div'}>" for k in [r.randint(0, 1) for _ in range(r.randint(1, 5))])
+            inner = r.choice(('', ' class="comment"', ' class="reply"'))
+            body = f"<h3>{r.randint(1, 40)} {self.words(1, 2)}</h3>" + "".join(f"<{'li' if k else 'div'}{inner}><b>{self.words(1, 2)}</b><p>{self.sentences(1, 4)}</p></{'li' if k else 'div'}>" for k in [r.randint(0, 1) for _ in range(r.randint(1, 5))])
             tag = r.choice(("section", "div", "aside", "div"))
         elif part == "aside":
             body = f"<h3>{self.words(1, 4)}</h3>" + (self.links(2, 6) if r.random() < 0.6 else f"<p>{self.sentences(1, 3)}</p>")
