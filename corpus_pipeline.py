@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquire.llm.chosen_path import jaccard_groups
-from sparkquire.llm.common import stored, table
+from sparkquire.llm.common import forget, stored, table
 from sparkquire.llm.decontam import without_contaminated
 from sparkquire.llm.packing import packed
 from sparkquire.llm.suffix_dedup import without_repeats
@@ -49,6 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
+    last = None
     for _, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir))
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if last:
+            forget(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
