@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.pytext import strip
 from ..plans.registry import query, read
 from ..sources.corpus import PAGES_SQL, page_rows
-from .scalars import PRESETS, doc_type
+from .scalars import PRESETS, doc_type, kind_sql
 
 #: Characters that end a sentence; what begins a section; a page marker.
 TERMINATORS = ".。!?！？"
@@ -165,19 +165,57 @@ def split_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.where(F.col("s.heading").startswith("#")).select("doc_id", "page", F.col("s.heading").alias("heading"))
 
 
-@query()
+def semantic_sql(source: str) -> str:
+    """CTEs after ``source`` (doc_id, pg, x, size, overlap) that end in cut_ (doc_id, pg, sec, k, heading, t): `semantic` with at least 100 characters."""
+    heading = r"(#{1,6}\s+[^\n]+|[A-Z][A-Z\s\x0B]{5,50}$|\p{Nd}+\.\s+[A-Z][^\n]{5,50}$)"
+    stop = "length(regexp_extract(substring(x, s + cut + 1, size - cut), '(?s)^(.*[.。!?！？])', 1))"
+    return rf"""{source},
+split_ AS (SELECT *, string_split(regexp_replace(x, '(?m)^{heading}', chr(1) || '\1', 'g'), chr(1)) AS ps FROM source),
+pieces AS (SELECT doc_id, pg, size, overlap, ps, unnest(range(1, len(ps) + 1)) AS sec, unnest(ps) AS x FROM split_),
+secs AS (SELECT doc_id, pg, size, overlap, CAST(floor(size * 0.8) AS INTEGER) AS cut, sec, x, CASE WHEN sec = 1 THEN '' ELSE substring(trim(regexp_extract(x, '(?m)^{heading}', 1)), 1, 50) END AS heading FROM pieces WHERE sec > 1 OR x <> '' OR len(ps) = 1),
+big AS (SELECT * FROM secs WHERE length(x) > size),
+paras AS (SELECT doc_id, pg, sec, row_number() OVER (PARTITION BY doc_id, pg, sec ORDER BY k) AS k, p FROM (SELECT doc_id, pg, sec, k, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM (SELECT doc_id, pg, sec, unnest(range(1, len(ps) + 1)) AS k, unnest(ps) AS p FROM (SELECT *, regexp_split_to_array(x, '\n\s*\n') AS ps FROM big) b) q) r WHERE p <> ''),
+merge_ AS (SELECT doc_id, pg, sec, size, overlap, CAST(0 AS BIGINT) AS k, '' AS cur, '' AS done FROM big
+  UNION ALL SELECT w.doc_id, w.pg, w.sec, size, overlap, c.k,
+    CASE WHEN cur = '' THEN p WHEN length(cur) + length(p) + 2 > size THEN right(cur, overlap) || chr(10) || chr(10) || p ELSE cur || chr(10) || chr(10) || p END,
+    CASE WHEN length(cur) + length(p) + 2 > size AND length(cur) >= 100 THEN cur ELSE '' END
+  FROM merge_ w JOIN paras c ON w.doc_id = c.doc_id AND w.pg = c.pg AND w.sec = c.sec AND c.k = w.k + 1),
+ends AS (SELECT doc_id, pg, sec, max(k) AS k FROM merge_ GROUP BY ALL),
+merged AS (SELECT doc_id, pg, sec, k, done AS t FROM merge_ WHERE done <> '' UNION ALL SELECT m.doc_id, m.pg, m.sec, m.k + 1, m.cur FROM merge_ m JOIN ends e ON m.doc_id = e.doc_id AND m.pg = e.pg AND m.sec = e.sec AND m.k = e.k WHERE length(m.cur) >= 100),
+lone AS (SELECT b.* FROM big b JOIN (SELECT doc_id, pg, sec, count(*) AS n, max(length(t)) AS long FROM merged GROUP BY ALL) m ON b.doc_id = m.doc_id AND b.pg = m.pg AND b.sec = m.sec WHERE n = 1 AND long > size),
+walk AS (SELECT doc_id, pg, sec, x, size, overlap, cut, 0 AS s, false AS over_, -1 AS start, 0 AS len FROM lone
+  UNION ALL SELECT doc_id, pg, sec, x, size, overlap, cut, CASE WHEN s + size >= length(x) THEN s ELSE s + e - overlap END, s + size >= length(x), s, CASE WHEN s + size >= length(x) THEN length(x) - s ELSE e END
+  FROM (SELECT *, CASE WHEN {stop} > 0 THEN cut + {stop} ELSE size END AS e FROM walk WHERE NOT over_) w),
+cut_ AS (SELECT doc_id, pg, sec, 0 AS k, heading, x AS t FROM secs WHERE length(x) BETWEEN 100 AND size
+  UNION ALL SELECT m.doc_id, m.pg, m.sec, m.k, b.heading, m.t FROM merged m JOIN big b ON m.doc_id = b.doc_id AND m.pg = b.pg AND m.sec = b.sec WHERE NOT EXISTS (SELECT 1 FROM lone l WHERE l.doc_id = m.doc_id AND l.pg = m.pg AND l.sec = m.sec)
+  UNION ALL SELECT w.doc_id, w.pg, w.sec, w.start, l.heading, substring(w.x, w.start + 1, w.len) FROM walk w JOIN lone l ON w.doc_id = l.doc_id AND w.pg = l.pg AND w.sec = l.sec WHERE w.start >= 0 AND w.len >= 100)"""
+
+
+#: Pages whole where they fit, else by sections: texts without their marker, as every given page has one.
+BODY = r"regexp_replace(regexp_replace(t, '(?s)^.*?<!--\s*Page\s+\d+\s*-->', ''), '^\s+|\s+$', '', 'g')"
+BY_PAGE = ", paged_ AS (SELECT doc_id, pg, CAST(0 AS BIGINT) AS sec, 0 AS k, CAST(NULL AS VARCHAR) AS heading, x AS t FROM bodies WHERE length(x) BETWEEN 100 AND size UNION ALL SELECT * FROM cut_)"
+
+
+@query(f"WITH RECURSIVE {PAGES_SQL}, {semantic_sql('source AS (SELECT doc_id, pg, t AS x, 1000 AS size, 200 AS overlap FROM page_rows)')} SELECT doc_id, pg, row_number() OVER (PARTITION BY doc_id, pg ORDER BY sec, k) - 1 AS index, heading, md5(t) AS digest FROM cut_")
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = page_rows(spark, sf_dir).select("doc_id", "pg", F.posexplode(semantic(F.col("t"), 1000, 200, 100)).alias("index", "c"))
-    return d.select("doc_id", "pg", "index", F.col("c.heading").alias("heading"), F.md5("c.text").alias("digest"))
+    d = page_rows(spark, sf_dir).select("doc_id", F.col("pg").cast("long").alias("pg"), F.posexplode(semantic(F.col("t"), 1000, 200, 100)).alias("index", "c"))
+    return d.select("doc_id", "pg", F.col("index").cast("long").alias("index"), F.col("c.heading").alias("heading"), F.md5("c.text").alias("digest"))
 
 
-@query()
+@query(f"WITH RECURSIVE {PAGES_SQL}, bodies AS (SELECT doc_id, pg, {BODY} AS x, 1000 AS size, 200 AS overlap FROM page_rows), {semantic_sql('source AS (SELECT * FROM bodies WHERE length(x) > size)')}{BY_PAGE} SELECT doc_id, row_number() OVER (PARTITION BY doc_id, pg ORDER BY sec, k) - 1 AS index, pg AS page, heading, md5(t) AS digest FROM paged_")
 def chunk_page_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = page_rows(spark, sf_dir).select("doc_id", F.posexplode(page_aware(F.col("t"), 1000, 200, 100)).alias("index", "c"))
-    return d.select("doc_id", "index", F.col("c.page").alias("page"), F.col("c.heading").alias("heading"), F.md5("c.text").alias("digest"))
+    return d.select("doc_id", F.col("index").cast("long").alias("index"), F.col("c.page").cast("long").alias("page"), F.col("c.heading").alias("heading"), F.md5("c.text").alias("digest"))
 
 
-@query()
+PRESET_SQL = " ".join(f"WHEN '{kind}' THEN {{0}}[{k + 1}]" for k, kind in enumerate(PRESETS))
+KINDS_SQL = (
+    "kinds AS (SELECT doc_id, pg, t, " + kind_sql("t") + " AS kind FROM page_rows), bodies AS (SELECT doc_id, pg, kind, " + BODY + " AS x, CASE kind "
+    + PRESET_SQL.format([size for size, _ in PRESETS.values()]) + " END AS size, CASE kind " + PRESET_SQL.format([overlap for _, overlap in PRESETS.values()]) + " END AS overlap FROM kinds)"
+)
+
+
+@query(f"WITH RECURSIVE {PAGES_SQL}, {KINDS_SQL}, {semantic_sql('source AS (SELECT doc_id, pg, x, size, overlap FROM bodies WHERE length(x) > size)')}{BY_PAGE} SELECT p.doc_id, b.kind, row_number() OVER (PARTITION BY p.doc_id, p.pg ORDER BY sec, k) - 1 AS index, p.pg AS page, heading, md5(t) AS chunk FROM paged_ p JOIN bodies b ON p.doc_id = b.doc_id AND p.pg = b.pg")
 def chunk_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = page_rows(spark, sf_dir).select("doc_id", F.col("t").alias("text"), F.lit("paper.pdf").alias("filename"))
-    return smart(d).withColumn("chunk", F.md5("chunk"))
+    return smart(d).withColumns({"chunk": F.md5("chunk"), "index": F.col("index").cast("long"), "page": F.col("page").cast("long")})

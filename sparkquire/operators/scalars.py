@@ -76,8 +76,13 @@ def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", media_type(ending).alias("media"))
 
 
-def _terms_sql(kind: str) -> str:
-    return " + ".join(f"CAST(contains(sample, '{t}') AS INTEGER)" for t in TERMS[kind])
+def _terms_sql(kind: str, sample: str = "sample") -> str:
+    return " + ".join(f"CAST(contains({sample}, '{t}') AS INTEGER)" for t in TERMS[kind])
+
+
+def kind_sql(text: str) -> str:
+    """`doc_type` of a text whose file name says nothing, in DuckDB."""
+    return "CASE " + " ".join(f"WHEN {_terms_sql(kind, f'lower(substring({text}, 1, 5000))')} >= 3 THEN '{kind}'" for kind in TERMS) + " ELSE 'general' END"
 
 
 @query(
