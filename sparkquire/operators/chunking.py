@@ -111,15 +111,17 @@ def page_aware(text: Column, size: int, overlap: int, least: int) -> Column:
 def smart(docs: DataFrame, text: str = "text", filename: str = "filename", strategy: str = "auto") -> DataFrame:
     """doc_id, kind, index, page, heading, chunk: each document's type picks its preset; ``auto`` is by pages where a marker stands, else semantic; an unknown strategy is semantic."""
     kinds = docs.select("doc_id", F.col(text).alias("text"), doc_type(F.col(text), F.col(filename)).alias("kind"))
-    out = None
+    t, cut = F.col("text"), F.lit(None).cast("array<struct<page:int,heading:string,text:string>>")
+    plain = lambda chunks: F.transform(chunks, lambda c: F.struct(F.lit(None).cast("int").alias("page"), c["heading"].alias("heading"), c["text"].alias("text")))
+    bare = lambda texts: F.transform(texts, lambda c: F.struct(F.lit(None).cast("string").alias("heading"), c.alias("text")))
     for kind, (size, overlap) in PRESETS.items():
-        t, how = F.col("text"), (size, overlap, 100)
-        none = lambda chunks: F.transform(chunks, lambda c: F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("heading"), c.alias("text")))
-        chosen = none(spans_text(t, basic(t, *how))) if strategy == "basic" else page_aware(t, *how)
-        if strategy not in ("auto", "page_aware", "basic"):
-            chosen = F.transform(semantic(t, *how), lambda c: F.struct(F.lit(None).cast("int").alias("page"), c["heading"].alias("heading"), c["text"].alias("text")))
-        part = kinds.where(F.col("kind") == kind).select("doc_id", "kind", F.posexplode(chosen).alias("index", "c"))
-        out = part if out is None else out.unionByName(part)
+        how = (size, overlap, 100)
+        if strategy in ("auto", "page_aware"):
+            chosen = page_aware(t, *how)
+        else:
+            chosen = plain(bare(spans_text(t, basic(t, *how))) if strategy == "basic" else semantic(t, *how))
+        cut = F.when(F.col("kind") == kind, chosen).otherwise(cut)
+    out = kinds.select("doc_id", "kind", F.posexplode(cut).alias("index", "c"))
     return out.select("doc_id", "kind", "index", F.col("c.page").alias("page"), F.col("c.heading").alias("heading"), F.col("c.text").alias("chunk"))
 
 
