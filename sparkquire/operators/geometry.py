@@ -32,7 +32,16 @@ def _rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select((k % 40).alias("page"), k, x.alias("x0"), y.alias("y0"), (x + k % 90).alias("x1"), (y + k % 70).alias("y1"))
 
 
-@query()
+CLUSTERS_SQL = """WITH RECURSIVE rects AS (SELECT p_partkey % 40 AS page, CAST(p_partkey * 37 % 600 AS DOUBLE) AS x0, CAST(p_partkey * 91 % 800 AS DOUBLE) AS y0, CAST(p_partkey * 37 % 600 + p_partkey % 90 AS DOUBLE) AS x1, CAST(p_partkey * 91 % 800 + p_partkey % 70 AS DOUBLE) AS y1 FROM part),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1) AS k FROM rects WHERE x1 - x0 > 1 OR y1 - y0 > 1),
+walk AS (SELECT page, k, x0, y0, x1, y1, false AS new, x0 AS ox0, y0 AS oy0, x1 AS ox1, y1 AS oy1 FROM placed WHERE k = 1
+  UNION ALL SELECT w.page, w.k + 1, CASE WHEN far THEN w.nx0 ELSE least(w.x0, w.nx0) END, CASE WHEN far THEN w.ny0 ELSE least(w.y0, w.ny0) END, CASE WHEN far THEN w.nx1 ELSE greatest(w.x1, w.nx1) END, CASE WHEN far THEN w.ny1 ELSE greatest(w.y1, w.ny1) END, far, w.x0, w.y0, w.x1, w.y1
+  FROM (SELECT v.page, v.k, v.x0, v.y0, v.x1, v.y1, p.x0 AS nx0, p.y0 AS ny0, p.x1 AS nx1, p.y1 AS ny1, greatest(0.0, p.y0 - v.y1, p.x0 - v.x1) >= 50 AS far FROM walk v JOIN placed p ON v.page = p.page AND p.k = v.k + 1) w),
+boxes AS (SELECT page, ox0 AS x0, oy0 AS y0, ox1 AS x1, oy1 AS y1 FROM walk WHERE new UNION ALL SELECT w.page, w.x0, w.y0, w.x1, w.y1 FROM walk w JOIN (SELECT page, max(k) AS k FROM placed GROUP BY page) e ON w.page = e.page AND w.k = e.k)
+SELECT * FROM boxes WHERE x1 - x0 > 80 AND y1 - y0 > 80"""
+
+
+@query(CLUSTERS_SQL)
 def cluster_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _rects(spark, sf_dir).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("rects"))
     return g.select("page", F.explode(clusters(F.col("rects"))).alias("c")).select("page", "c.*")

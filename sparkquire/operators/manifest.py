@@ -148,13 +148,18 @@ def doc_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "start_line", F.concat(F.expr("repeat('  ', cast(level - 1 as int))"), F.lit("- "), "title").alias("entry"))
 
 
-@query()
+@query(
+    f"""WITH {LINES_SQL}{TABLES_SQL[len(PAGES_SQL):]}, titled AS (SELECT doc_id, coalesce(trim(min_by(regexp_extract(line, '^#\\s+(.+)$', 1), CASE WHEN regexp_matches(line, '^#\\s+.+$') THEN line_no END)), '') AS title FROM numbered_lines GROUP BY doc_id),
+s AS (SELECT doc_id, list({{'start_line': start_line, 'end_line': end_line, 'id': id, 'title': title, 'level': level, 'page': page}} ORDER BY start_line) AS items FROM sections GROUP BY doc_id),
+t AS (SELECT doc_id, list({{'ordinal': ordinal, 'id': 'tab_' || ordinal, 'page': page, 'preview': replace(substring(markdown, 1, 100), chr(10), ' '), 'row_count': row_count, 'col_count': col_count}} ORDER BY ordinal) AS items FROM tables_ GROUP BY doc_id)
+SELECT d.doc_id, CAST(to_json({{'doc_id': d.doc_id, 'title': d.title, 'assets': {{'sections': coalesce(s.items, []), 'tables': coalesce(t.items, [])}}}}) AS VARCHAR) AS manifest FROM titled d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+)
 def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and the manifest as JSON, its sections and tables nested."""
+    """doc_id and the manifest as JSON, its sections and tables nested; a document without them has empty lists."""
     pages = page_rows(spark, sf_dir)
     s = sections(pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line", "id", "title", "level", "page"))).alias("sections"))
     t = tables(pages).drop("markdown").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "page", "preview", "row_count", "col_count"))).alias("tables"))
-    m = titles(pages).join(s, "doc_id", "left").join(t, "doc_id", "left")
+    m = titles(pages).join(s, "doc_id", "left").join(t, "doc_id", "left").withColumns({c: F.coalesce(c, F.array()) for c in ("sections", "tables")})
     return m.select("doc_id", F.to_json(F.struct("doc_id", "title", F.struct("sections", "tables").alias("assets"))).alias("manifest"))
 
 
