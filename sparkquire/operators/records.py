@@ -6,15 +6,12 @@ DataFrame to DataFrame, and a table that several edits touch is written anew.
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pytext import json_string
 from ..plans.registry import query, read
+from ..sources.sheet import xlsx
 
 COLUMNS = (("Name", "text", True, ()), ("Size", "number", True, ()), ("Kind", "enum", False, ("ECONOMY", "SMALL", "MEDIUM", "LARGE")))
 
@@ -197,18 +194,11 @@ def draft_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drafts(spark, sf_dir).select("draft_id", error.isNull().alias("success"), error.alias("error"))
 
 
-def xlsx(rows: list[dict], columns: list[str], title: str) -> bytes:
-    """A workbook of one sheet: title, header in row 3, values; written as zipped XML. ``rows`` is bounded by its caller."""
-    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t>{escape("" if v is None else str(v))}</t></is></c>'
-    lines = [[title], [], columns, *([r.get(c) for c in columns] for r in rows)]
-    sheet = "".join(f"<row>{''.join(map(cell, x))}</row>" for x in lines)
-    space, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package, kinds = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    head, out = '<?xml version="1.0" encoding="UTF-8"?>', io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kinds}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kinds}.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{space}" xmlns:r="{office}"><sheets><sheet name="Data" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{space}"><sheetData>{sheet}</sheetData></worksheet>')
-    return out.getvalue()
+def workbook(rows: DataFrame, table_id: str, source: str = "", comparison: bool = False, most: int = 100_000) -> bytes:
+    """One table's sheet. A sheet holds no more than about a million rows; a table of more than ``most`` is refused, none is cut. Rows come partition by partition."""
+    own = rows.where(F.col("table_id") == table_id)
+    if own.limit(most + 1).count() > most:
+        raise ValueError(f"table {table_id} has more than {most} rows")
+    kinds = {name: kind for name, kind, *_ in COLUMNS}
+    values = own.orderBy("idx").select(*(F.col(c.lower()).alias(c) for c in kinds))
+    return xlsx((r.asDict() for r in values.toLocalIterator()), list(kinds), table_id, source, comparison, kinds)

@@ -102,3 +102,29 @@ def test_sheet_and_clusters(spark):
     rects = spark.createDataFrame([([(0.0, 0.0, 100.0, 100.0), (10.0, 120.0, 60.0, 140.0), (0.0, 400.0, 20.0, 420.0)],)], f"r array<{geometry.RECT}>")
     got = rects.select(geometry.clusters(F.col("r"))).first()[0]
     assert [tuple(x) for x in got] == [(0.0, 0.0, 100.0, 140.0)]
+
+
+def test_sheet(spark):
+    from xml.etree import ElementTree
+
+    kinds = {"Item": "text", "n": "number", "link": "url", "Confidence": "enum"}
+    rows = [{"Item": "<a & b>", "n": 2.5, "link": "https://example.org/?a=1&b=2", "Confidence": "High"}, {"Item": None, "n": 1, "Confidence": "low"}]
+    with zipfile.ZipFile(io.BytesIO(records.xlsx(iter(rows), list(kinds), "T", "doc", True, kinds))) as z:
+        parts = {n: ElementTree.fromstring(z.read(n)) for n in z.namelist()}
+    sheet = parts["xl/worksheets/sheet1.xml"]
+    cells = {c.get("r"): c for c in sheet.iter() if c.tag.endswith("}c")}
+    assert "".join(cells["A2"].itertext()) == "Source: doc" and "".join(cells["A4"].itertext()) == "Item"
+    assert "".join(cells["A5"].itertext()) == "<a & b>" and "".join(cells["B5"].itertext()) == "2.5" and cells["B5"].get("t") is None
+    assert [cells[c].get("s") for c in ("A1", "A4", "A5", "D5", "D6")] == ["1", "2", "3", "4", "5"]
+    assert "".join(cells["A6"].itertext()) == "" and "".join(cells["C6"].itertext()) == ""
+    assert [c.get("width") for c in sheet.iter() if c.tag.endswith("}col")] == ["9", "5", "30", "12"]
+    assert [c.get("sqref") for c in sheet.iter() if c.tag.endswith("}conditionalFormatting")] == ["B5:B6"]
+    assert parts["xl/worksheets/_rels/sheet1.xml.rels"][0].get("Target") == "https://example.org/?a=1&b=2"
+
+
+def test_workbook(spark):
+    rows = spark.createDataFrame([("t", k, f"n{k}", k, "SMALL") for k in range(5)] + [("u", 0, "x", 1, None)], "table_id string, idx long, name string, size int, kind string")
+    with zipfile.ZipFile(io.BytesIO(records.workbook(rows, "t"))) as z:
+        assert z.read("xl/worksheets/sheet1.xml").decode().count("<row ") == 7
+    with pytest.raises(ValueError):
+        records.workbook(rows, "t", most=4)
