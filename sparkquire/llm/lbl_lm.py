@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fold
 from .textops import BASE, NOT_SPACE, U, chunks, hasher, mix, spans
 
-WORDS, SPELLINGS, WIDTH, NOISE = 1024, 128, 24, 32
+WORDS, SPELLINGS, WIDTH, NOISE = 1024, 128, 24, 128
 END, START = WORDS + SPELLINGS, WORDS + SPELLINGS + 1
 SYMBOLS = END + 1
 BATCH_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
-PILOT, BLOCK = 4, 8192
+PILOT, BLOCK = 4, 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARKS = np.zeros(256, bool)
@@ -284,7 +284,7 @@ def _scorer(tables, shares: np.ndarray, end_share: float, n: int, v: int, end_co
     return run
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, out: int = 2, rate: float = 0.1) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, out: int = 2, rate: float = 0.2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
     Tokens: runs of bytes other than white space, A-Z lower-cased, then one end.
