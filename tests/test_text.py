@@ -128,3 +128,17 @@ def test_workbook(spark):
         assert z.read("xl/worksheets/sheet1.xml").decode().count("<row ") == 7
     with pytest.raises(ValueError):
         records.workbook(rows, "t", most=4)
+
+
+def test_visual_content(spark, tmp_path):
+    texts = ["é" * 60, "ünïcode wörds " * 30, "a" * 99 + "é", "a\tB\r" * 60, "", None, "a" * 99, "a" * 200, "aZ" * 100, "\U0001f600x" * 400, "a" * 1000 + "é" * 90]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(8, "aZ" * 100)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def want(t):
+        b = (t or "").encode()[:1000]
+        return len(b) >= 100 and sum((x - sum(b) / len(b)) ** 2 for x in b) / len(b) > 100
+
+    got = geometry.visual_content(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((k, want(t)) for k, t in rows)
+    assert {r.visual for r in got} == {True, False}
