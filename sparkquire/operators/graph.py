@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..plans.registry import query, read
 
 STOP = ("The", "This", "These", "What")
+#: White space and word characters of any script, as Python's re has them; Java looks behind by whole characters where the pattern holds one beyond 16 bits.
+SPACE, LETTER = r"[\s\x{85}\x1c-\x1f\p{Z}]", "[\\p{L}\\p{N}_\U0001d400]"
+RUN = rf"((?<!{LETTER})[A-Z][a-z]+(?:{SPACE}+[A-Z][a-z]+)*(?!{LETTER}))"
 
 
 def entities(text: Column) -> Column:
     """Quoted strings, then runs of capitalised words, in order, without the stop-list; of equal ones in any case the first."""
     quoted = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
-    caps = F.filter(F.regexp_extract_all(text, F.lit(r"(\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b)"), F.lit(1)), lambda x: ~x.isin(*STOP))
+    caps = F.filter(F.regexp_extract_all(text, F.lit(RUN), F.lit(1)), lambda x: ~x.isin(*STOP))
     return F.concat(quoted, caps)
 
 
@@ -102,26 +105,27 @@ placed AS (SELECT doc_id, e AS entity, row_number() OVER (PARTITION BY doc_id OR
 
 
 def first_entities(docs: DataFrame, limit: int = 5) -> DataFrame:
-    """doc_id, place, entity: the first ``limit`` distinct ones of each document."""
-    each = docs.select("doc_id", F.posexplode(entities(F.col("text"))).alias("at", "entity"))
+    """doc_id, place, entity: the first ``limit`` distinct ones of each document; each row sends no more than these."""
+    lowered = lambda xs: F.transform(F.array(F.transform(xs, F.lower)), lambda low: F.transform(F.slice(F.array_distinct(low), 1, limit), lambda x: F.struct(F.array_position(low, x).alias("at"), F.get(xs, F.array_position(low, x) - 1).alias("entity"))))
+    each = docs.select("doc_id", F.explode(F.flatten(F.flatten(F.transform(F.array(entities(F.col("text"))), lowered)))).alias("e")).select("doc_id", "e.*")
     first = each.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", F.lower("entity")).orderBy("at"))).where("k = 1")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long")).where(F.col("place") <= limit).select("doc_id", "place", "entity")
 
 
-def _ascii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"Drug '), (F.col("doc_id") % 50).cast("string"), F.lit('" and The Best Of '), plain).alias("text"))
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole text after a phrase with a quoted name. The SQL deletes what is not printable ASCII, the query does not."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"Drug '), (F.col("doc_id") % 50).cast("string"), F.lit('" and The Best Of '), F.col("text")).alias("text"))
 
 
 @query(f"WITH {ENTITIES_SQL} SELECT * FROM placed WHERE place <= 5")
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_entities(_ascii_docs(spark, sf_dir))
+    return first_entities(_docs(spark, sf_dir))
 
 
 @query(f"WITH {ENTITIES_SQL}, p AS (SELECT * FROM placed WHERE place <= 5) SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) > 1")
 def kg_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between entities that occur together in more than one document; five entities a document bound the pairs."""
-    per = first_entities(_ascii_docs(spark, sf_dir)).groupBy("doc_id").agg(F.sort_array(F.collect_list("entity")).alias("es"))
+    per = first_entities(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.sort_array(F.collect_list("entity")).alias("es"))
     pairs = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: b > a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
     return per.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight")).where("weight > 1")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkquire.functions.pytext import strip
 from sparkquire.operators import chunking as C
-from sparkquire.operators import geometry, manifest, records, scalars
+from sparkquire.operators import geometry, graph, manifest, records, scalars
 
 PAGE_TEXT = "\n<!-- Page 1 -->\n\n# Test Title\n\n## Introduction\n\nText here.\n\n<!-- Page 2 -->\n## Methods\n\n| a | b | c |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 | 5 | 6 |\n\n### Data\u00a0Collection\nmore"
 
@@ -142,3 +142,23 @@ def test_visual_content(spark, tmp_path):
     got = geometry.visual_content(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted((k, want(t)) for k, t in rows)
     assert {r.visual for r in got} == {True, False}
+
+
+def python_entities(text):
+    runs = re.findall(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", text)
+    out = {}
+    for e in re.findall(r'"([^"]+)"', text) + [r for r in runs if r not in graph.STOP]:
+        out.setdefault(e.lower(), e)
+    return list(out.values())
+
+
+ENTITY_TEXTS = ["Cióníos met Ana Ñandú and Élan Vital in Paris", 'É "ciudad Ávila" The Old\u00a0Town New\u2003Road\u0085Down\x1cHill _Under Über9Side', "A\u0301na Bo\u0301b Carl\u0301 Dan\u200dEve Five\u2167 Six\u00bd Sev\u4e2d Oct\U0001d400 \U0001d400Nov Dec\U0001f600 End", "Line\nBreak\tTab The Best This"]
+
+
+def test_entities(spark, tmp_path):
+    for text in ENTITY_TEXTS:
+        d = graph.first_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), 1000)
+        assert [r.entity for r in d.orderBy("place").collect()] == python_entities(text)
+    spark.createDataFrame(list(enumerate(ENTITY_TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.place, r.entity) for r in graph.extract_entities(spark, str(tmp_path)).collect())
+    assert got == [(k, p + 1, e) for k, t in enumerate(ENTITY_TEXTS) for p, e in enumerate(python_entities(f'"Drug {k}" and The Best Of {t}')[:5])]
