@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query, read
+from .chunking import basic
 
 STOP = ("The", "This", "These", "What")
 #: White space and word characters of any script, as Python's re has them; Java looks behind by whole characters where the pattern holds one beyond 16 bits.
@@ -112,6 +117,59 @@ def first_entities(docs: DataFrame, limit: int = 5) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("long")).where(F.col("place") <= limit).select("doc_id", "place", "entity")
 
 
+CHUNK_CHARS, PAIRS = 3200, 1 << 21
+
+
+def cooccurrences(docs: DataFrame, size: int = CHUNK_CHARS) -> DataFrame:
+    """source, target, weight: the number of chunks (800 tokens of four characters, cut by `basic` without overlap) in which both entities begin.
+
+    Entities are those of `entities` over the whole text, so a chunk's end cuts none; in a
+    chunk the first of those equal in any case stands for them. Pairs are counted in each task before they are shuffled.
+    """
+    at = docs.where("text is not null").select("text", F.transform(basic(F.col("text"), size, 0, 0), lambda x: x["start"]).alias("starts"))
+    return at.mapInArrow(_pairs, "source string, target string, n long").groupBy("source", "target").agg(F.sum("n").alias("weight"))
+
+
+_QUOTED, _RUN = re.compile(r'"([^"]+)"'), re.compile(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b")
+
+
+def chunk_entities(text: str, starts: list[int]) -> list[list[str]]:
+    """The distinct entities that begin in each chunk: quoted strings, then runs."""
+    found: list[dict[str, str]] = [{} for _ in starts]
+    for pattern, group in ((_QUOTED, 1), (_RUN, 0)):
+        for m in pattern.finditer(text):
+            if group or m[0] not in STOP:
+                found[bisect_right(starts, m.start()) - 1].setdefault(m[group].lower(), m[group])
+    return [list(x.values()) for x in found]
+
+
+def _pairs(batches):
+    codes: dict[str, int] = {}
+    held, total = [], 0
+
+    def counted():
+        names = pa.array(list(codes), pa.string())
+        pairs, n = np.unique(np.concatenate(held), return_counts=True)
+        for k in range(0, len(pairs), 1 << 16):
+            p = pairs[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(p >> 32)), names.take(pa.array(p & 0xFFFFFFFF)), pa.array(n[k : k + (1 << 16)])], ["source", "target", "n"])
+
+    for batch in batches:
+        for text, starts in zip(batch.column("text"), batch.column("starts")):
+            for some in chunk_entities(text.as_py(), starts.as_py()):
+                if len(some) > 1:
+                    own = np.array([codes.setdefault(e, len(codes)) for e in sorted(some)], np.int64)
+                    a, b = np.triu_indices(len(own), 1)
+                    held.append(own[a] << 32 | own[b])
+                    total += len(a)
+                if total >= PAIRS:
+                    yield from counted()
+                    codes.clear()
+                    held, total = [], 0
+    if held:
+        yield from counted()
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole text after a phrase with a quoted name. The SQL deletes what is not printable ASCII, the query does not."""
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"Drug '), (F.col("doc_id") % 50).cast("string"), F.lit('" and The Best Of '), F.col("text")).alias("text"))
@@ -124,10 +182,8 @@ def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ENTITIES_SQL}, p AS (SELECT * FROM placed WHERE place <= 5) SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) > 1")
 def kg_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between entities that occur together in more than one document; five entities a document bound the pairs."""
-    per = first_entities(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.sort_array(F.collect_list("entity")).alias("es"))
-    pairs = F.flatten(F.transform("es", lambda a: F.transform(F.filter("es", lambda b: b > a), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    return per.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight")).where("weight > 1")
+    """Edges between entities that occur together in more than one chunk, over all chunks of the whole texts. The SQL sees each document's first five entities only."""
+    return cooccurrences(_docs(spark, sf_dir)).where("weight > 1")
 
 
 LOCAL_SQL = f"WITH {NODES_SQL}, hit AS (SELECT id, ordinal FROM nodes WHERE contains(lower(id), 'a') ORDER BY ordinal LIMIT 5), around AS (SELECT 'local' AS mode, source, target, weight FROM edges WHERE source IN (SELECT id FROM hit) OR target IN (SELECT id FROM hit)), wide AS (SELECT 'global' AS mode, source, target, weight FROM edges WHERE contains(keywords, 'based') ORDER BY CAST(weight AS DOUBLE) DESC, source, target LIMIT 10)"

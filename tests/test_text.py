@@ -162,3 +162,26 @@ def test_entities(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ENTITY_TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.doc_id, r.place, r.entity) for r in graph.extract_entities(spark, str(tmp_path)).collect())
     assert got == [(k, p + 1, e) for k, t in enumerate(ENTITY_TEXTS) for p, e in enumerate(python_entities(f'"Drug {k}" and The Best Of {t}')[:5])]
+
+
+def test_graph_covers_whole_texts(spark, tmp_path):
+    filler = "some words that go on without any name. " * 100
+    late = "Zoë saw Anna Bell and Karl Ito. "
+    texts = [filler + late + "Late \"one é\" here.", "Ana Ben Cid, Dora, Eva, Finn, Gil, Hal. " + filler * 2 + late, None, "", "Eve Fox " + "x" * 3187 + " Cut Name, Karl Ito", "so Anna Bell, ANNA, anna, Karl Ito, Karl Ito"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for t in texts:
+        ends = [s for s, n in cut_basic(t, 3200, 0, 0)] if t is not None else []
+        seen = [{} for _ in ends]
+        for m in list(re.finditer(r'"([^"]+)"', t or "")) + list(re.finditer(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", t or "")):
+            e = m[1] if m.re.groups else m[0]
+            seen[max(k for k, s in enumerate(ends) if s <= m.start())].setdefault(e.lower(), e)
+        for c in seen:
+            for a in c.values():
+                for b in c.values():
+                    if a < b:
+                        want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.source, r.target): r.weight for r in graph.cooccurrences(docs).collect()} == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    edges = {(r.source, r.target): r.weight for r in graph.kg_build(spark, str(tmp_path)).collect()}
+    assert edges["Anna Bell", "Karl Ito"] == 3 and want["Cut Name", "Eve Fox"] == 1 and ("Cut Name", "Karl Ito") not in want
