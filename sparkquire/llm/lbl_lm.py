@@ -149,8 +149,12 @@ def _resolve(vocabulary: np.ndarray):
     """Each batch's documents as symbols, with their sums of log10(count + 1) over all words and over those that only a class stands for."""
 
     def run(table: pa.Table) -> pa.Table:
-        by = {s: x for s, x in zip(table.column("shard").to_pylist(), table.column("load").to_pylist())}
-        number, sizes, ids, out_of, kind = _unpack(by.pop(-1), np.int32, np.int32, np.int64, bool, np.uint8)
+        rows = list(zip(table.column("shard").to_pylist(), table.column("load").to_pylist()))
+        by = {s: x for s, x in rows if s >= 0}
+        return pa.concat_tables([one(table.column("batch")[0].as_py(), by, x) for s, x in rows if s < 0])
+
+    def one(batch: int, by: dict[int, bytes], own_load: bytes) -> pa.Table:
+        number, sizes, ids, out_of, kind = _unpack(own_load, np.int32, np.int32, np.int64, bool, np.uint8)
         symbol, count = WORDS + kind.astype(np.int64), np.zeros(len(kind), np.int64)
         begin = 0
         for s in sorted(by):
@@ -166,7 +170,7 @@ def _resolve(vocabulary: np.ndarray):
         logs, doc = np.log10(count + 1.0), np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(doc, x[number], len(sizes)) if len(doc) else np.zeros(len(sizes))
         out = [ids, out_of, sizes, symbol.astype(np.int16)[number], add(count > 0).astype(np.int32), add(logs), add(np.where(symbol >= WORDS, logs, 0.0))]
-        return pa.table({"batch": pa.array([table.column("batch")[0].as_py()]), **{n: pa.array([_pack(x)], pa.binary()) for n, x in zip(("row_id", "held_out", "sizes", "symbols", "known", "log_all", "log_rare"), out)}})
+        return pa.table({"batch": pa.array([batch]), **{n: pa.array([_pack(x)], pa.binary()) for n, x in zip(("row_id", "held_out", "sizes", "symbols", "known", "log_all", "log_rare"), out)}})
 
     return run
 

@@ -178,6 +178,14 @@ def test_language_model(spark, docs, none):
     assert np.allclose(np.exp(a[3] + b[5] - z[3, 5]).sum(), 1, atol=1e-4)
 
 
+def test_language_model_of_equal_batches(spark):
+    rows = [(1, "one row here", "en", 0.5, 1, 2, 3), (2, "another row", "en", 0.5, 1, 2, 3), (None, None, "en", 0.5, 1, 2, 3), (None, "", "en", 0.5, 1, 2, 3)]
+    once = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), DOC)
+    got = lbl_lm.lm_scores(once.union(once)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 1)] * 4 + [(1, 4)] * 2 + [(2, 3)] * 2
+    assert {r.train_tokens for r in got} == {sum(r.n_tokens for r in got if not r.held_out)}
+
+
 def test_vectors(spark):
     x = R.normal(size=(300, 16))
     x[100:200] = x[:100] + R.normal(size=(100, 16)) * 0.3
