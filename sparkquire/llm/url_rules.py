@@ -9,12 +9,16 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Host words that mark a labelled URL as unwanted besides its document's labels: distant supervision, a parameter of `labelled`.
 SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
-SUPPORT, LEAST, CONFIDENCE, LONGEST = 0.001, 10, 0.8, 3
-LABELLED, KEPT = 200_000, 10_000
+SUPPORT, LEAST, CONFIDENCE = 0.001, 10, 0.8
+LABELLED = 200_000
+#: Rows of the index that go out in one broadcast, a few MB.
+BLOCK = 50_000
 
 
 def host_of(url: Column) -> Column:
@@ -38,15 +42,19 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: scheme, host labels and their words, first path part when it has letters, ending, query keys. Numbers are left out."""
+    """Distinct tokens of a URL: scheme, host labels and their words, every path part that has letters and its words, ending, query keys, query values and their words. Numbers are left out."""
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     words = F.flatten(F.transform(labels, lambda x: F.split(x, r"[-_]+")))
-    first = F.regexp_extract(path, r"^/([^/]*)", 1)
-    keys = F.regexp_extract_all(F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1), F.lit(r"(?:^|&)([^=&]+)"), F.lit(1))
+    named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    lettered = lambda xs: F.filter(F.transform(xs, F.lower), lambda x: x.rlike(r"\p{L}"))
+    parted = lambda xs: F.concat(lettered(xs), F.flatten(F.transform(lettered(xs), lambda x: F.split(x, r"[^\p{L}\p{M}\p{N}]+"))))
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
+    keys = F.regexp_extract_all(query, F.lit(r"(?:^|&)([^=&]+)"), F.lit(1))
+    values = F.regexp_extract_all(query, F.lit(r"(?:^|&)[^=&]*=([^&]+)"), F.lit(1))
     given = F.concat(
-        F.array(F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))), F.concat(F.lit("path:"), F.when(first.rlike(r"\p{L}"), F.lower(first)).otherwise("")), F.concat(F.lit("end:"), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)))),
-        F.transform(labels, lambda x: F.concat(F.lit("label:"), x)), F.transform(words, lambda x: F.concat(F.lit("word:"), x)), F.transform(keys, lambda x: F.concat(F.lit("key:"), x)),
+        F.array(F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))), F.concat(F.lit("end:"), F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1)))),
+        named("label:", labels), named("word:", words), named("path:", parted(F.split(path, "/"))), named("key:", keys), named("value:", parted(values)),
     )
     return F.array_distinct(F.filter(given, lambda t: ~t.rlike(r":\d*$")))
 
@@ -63,26 +71,24 @@ def labelled(pages: DataFrame, labels: DataFrame, seeds=SEEDS, rows: int = LABEL
     return keyed.join(bad, "doc_id").orderBy(F.xxhash64("url"), "url").limit(rows).select("url", ((F.col("bad") == 1) | seeded).alias("unwanted"))
 
 
-def mined(labelled_urls: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, longest: int = LONGEST, kept: int = KEPT) -> DataFrame:
+def mined(labelled_urls: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
     """rule, items, confidence, support of the association rules whose consequent is the unwanted label.
 
     A rule needs a share of ``support`` of the labelled URLs and at least ``least`` of them, so
-    that a small table gives no chance rules. Rules with more than ``longest`` tokens go, then those that hold a shorter
-    rule's tokens without greater confidence (a rule of one token is tested by join on it, of two by its
-    parts), at most ``kept`` by confidence, support and name stay: a few hundred
-    KB to broadcast at most.
+    that a small table gives no chance rules. Rules of any length and number stay, but for those that
+    another rule of one token less makes needless, as it has no less confidence.
     """
     item = F.when(F.col("unwanted"), F.array(F.lit("label=unwanted"))).otherwise(F.array().cast("array<string>"))
     baskets = labelled_urls.select(F.concat(tokens(F.col("url")), item).alias("items")).where(F.size("items") > 0)
     share = min(1.0, max(support, least / max(baskets.count(), 1)))
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence, numPartitions=int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(baskets)
     found = (
-        model.associationRules.where((F.element_at("consequent", 1) == "label=unwanted") & (F.size("antecedent") <= longest) & (F.col("lift") > 1))
+        model.associationRules.where((F.element_at("consequent", 1) == "label=unwanted") & (F.col("lift") > 1))
         .select(F.sort_array("antecedent").alias("items"), "confidence", "support").withColumn("rule", F.array_join("items", " "))
     )
-    subs = F.filter(F.transform(F.sequence(F.lit(1), F.lit((1 << longest) - 2)), lambda m: F.array_join(F.filter(F.transform("items", lambda x, k: F.when(F.getbit(m, k) == 1, x)), lambda x: x.isNotNull()), " ")), lambda s: (s != "") & (s != F.col("rule")))
-    shorter = found.select("rule", "confidence", F.explode(F.array_distinct(subs)).alias("sub")).join(found.select(F.col("rule").alias("sub"), F.col("confidence").alias("had")), "sub").where("had >= confidence").select("rule").distinct()
-    return found.join(shorter, "rule", "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "rule").limit(kept)
+    subs = F.transform("items", lambda x: F.array_join(F.array_remove("items", x), " "))
+    shorter = found.where(F.size("items") > 1).select("rule", "confidence", F.explode(subs).alias("sub")).join(found.select(F.col("rule").alias("sub"), F.col("confidence").alias("had")), "sub").where("had >= confidence").select("rule").distinct()
+    return found.join(shorter, "rule", "left_anti")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame:
@@ -91,17 +97,24 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame
     A given rule decides where one fits; of several the longest. Otherwise the
     page is blocked when all tokens of a mined rule are among its URL's tokens: an
     inverted index from token to rules, and a rule fires when as many tokens
-    matched as it has. mined_rule is the surest of those, null where none fires. Matching is by distinct sets of tokens, so hosts that fill the
-    table are matched once. Null URLs and those without ``://`` have an empty host and path and are
+    matched as it has. mined_rule is the surest of those, of equally sure ones the shortest, null where none fires. Matching is by distinct sets of tokens, so hosts that fill the
+    table are matched once; the index goes out in blocks of ``block`` rows. Null URLs and those without ``://`` have an empty host and path and are
     allowed unless a given rule says otherwise. Repeated rows are judged one by one. Without labels no rules are mined.
     """
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("given", verdict).withColumn("tokens", F.sort_array(tokens(F.col("url"))))
     train = labelled(pages, labels, how.pop("seeds", SEEDS), how.pop("rows", LABELLED))
-    index = mined(train, **how).select("rule", "confidence", F.size("items").alias("need"), F.explode("items").alias("token"))
+    block = how.pop("block", BLOCK)
+    index = checkpointed(mined(train, **how).select("rule", "confidence", F.size("items").alias("need"), F.explode("items").alias("token")))
+    blocks = max(1, -(-index.count() // block))
     sets = urls.where("given is null").select("tokens").distinct()
-    hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token")
-    fired = hits.groupBy("tokens", "rule", "confidence", "need").agg(F.count("*").alias("got")).where("got = need").groupBy("tokens").agg(F.min_by("rule", F.struct(-F.col("confidence"), "rule")).alias("mined_rule"))
+    fired = None
+    for k in range(blocks):
+        part = index.where(F.pmod(F.xxhash64("rule"), F.lit(blocks)) == k)
+        hits = sets.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(part), "token")
+        some = hits.groupBy("tokens", "rule", "confidence", "need").agg(F.count("*").alias("got")).where("got = need").select("tokens", "rule", "confidence", "need")
+        fired = some if fired is None else fired.unionByName(some)
+    fired = fired.groupBy("tokens").agg(F.min_by("rule", F.struct(-F.col("confidence"), "need", "rule")).alias("mined_rule"))
     out = urls.join(fired, "tokens", "left")
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), F.when(F.col("given").isNull(), F.col("mined_rule")).alias("mined_rule"))

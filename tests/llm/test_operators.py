@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkquire.llm import chosen_path, decontam, embedding_dedup, html_crf, lbl_lm, packing, quality_cnn, suffix_dedup, toxicity, url_rules
 from sparkquire.llm.components import components
@@ -227,3 +228,20 @@ def test_urls(spark):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict)
     assert all(got[100 + k].verdict == ("block" if k % 2 else "allow") for k in range(60))
     assert url_rules.judged(pages, labels.limit(0)).count() == len(got) and url_rules.judged(pages.limit(0), labels).count() == 0
+
+
+def test_urls_by_every_part(spark):
+    made = lambda k: [f"http://x.org/blog/{'casino-bonus' if k % 2 else 'garden-notes'}/{k}", f"http://y.org/a/{k}?q={'Pills' if k % 2 else 'rain'}&n=7"][k // 2 % 2]
+    pages = spark.createDataFrame([(k, made(k)) for k in range(120)] + [(500, "http://z.org/1/2/best_casino.html"), (501, "http://z.org/1/2/best_garden.html")], "page_id long, url string")
+    train = spark.createDataFrame([(made(k), bool(k % 2)) for k in range(120)], "url string, unwanted boolean")
+    got = set(spark.createDataFrame([(made(0),)], "url string").select(url_rules.tokens(F.col("url"))).first()[0])
+    assert {"path:blog", "path:garden-notes", "path:garden", "path:notes"} <= got and not any(t.endswith(":0") for t in got)
+    rules = {r.rule: r.confidence for r in url_rules.mined(train).collect()}
+    assert {"path:casino", "path:bonus", "path:casino-bonus", "value:pills"} == set(rules)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(120)], "doc_id long, quality int, toxic int")
+    for how in ({}, {"block": 1}):
+        got = {r.page_id: r.verdict for r in url_rules.judged(pages, labels, rules=(), **how).collect()}
+        assert [got[k] for k in range(120)] == ["block" if k % 2 else "allow" for k in range(120)] and (got[500], got[501]) == ("block", "allow")
+    combos = [(c & 1, c >> 1 & 1, c >> 2 & 1, c >> 3 & 1) for c in range(16)]
+    rows = [("http://h/" + "/".join(n for n, on in zip(("aa", "bb", "cc", "dd"), c) if on), all(c)) for c in combos for _ in range(12)]
+    assert [r.rule for r in url_rules.mined(spark.createDataFrame(rows, "url string, unwanted boolean")).collect()] == ["path:aa path:bb path:cc path:dd"]
