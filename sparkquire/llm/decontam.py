@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .textops import U, chunks, gram_hashes, hasher, spans
 
-SEED, TILE, COVERAGE = 5, 3, 0.8
+TILE, COVERAGE = 3, 0.8
 BLOCK_BYTES = 8 << 20
+#: Shared seeds looked at together.
+HITS = 1 << 20
 
 PAIRS = "item_id {item}, coverage double, n_tiles int, n_matched int, tiles array<struct<doc_word:int,item_word:int,words:int>>"
 
@@ -77,30 +79,46 @@ class Index:
                     self.ids.append(ids[at + k])
                     self.words.append(h[first[k] : first[k + 1]])
         self.seeds = {}
-        for size in sorted({min(SEED, len(w)) for w in self.words}):
-            own = [(gram_hashes(w, size), k) for k, w in enumerate(self.words) if min(SEED, len(w)) == size]
-            keys, items = np.concatenate([g for g, _ in own]), np.concatenate([np.full(len(g), k) for g, k in own])
+        for size in sorted({min(TILE, len(w)) for w in self.words}):
+            own = [(gram_hashes(w, size), k) for k, w in enumerate(self.words) if min(TILE, len(w)) == size]
+            keys, items, places = np.concatenate([g for g, _ in own]), np.concatenate([np.full(len(g), k) for g, k in own]), np.concatenate([np.arange(len(g)) for g, _ in own])
             order = np.argsort(keys, kind="stable")
-            self.seeds[size] = keys[order], items[order]
+            self.seeds[size] = keys[order], items[order], places[order]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
 
-    def matches(self, words: np.ndarray, first: np.ndarray, coverage: float):
-        """(document, item, tiles, covered share) of the pairs that reach ``coverage``."""
-        found = set()
-        for size, (keys, items) in self.seeds.items():
+    def candidates(self, words: np.ndarray, first: np.ndarray, coverage: float):
+        """(document, item) of the pairs whose shared seeds cover enough of the item: tiles lie within them, so no other pair can reach ``coverage``."""
+        for size, (keys, items, places) in self.seeds.items():
             grams = gram_hashes(words, size)
             low = np.searchsorted(keys, grams)
             at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == grams)
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + size <= first[doc + 1]
-            for d, p in zip(doc[inside].tolist(), at[inside].tolist()):
-                k = low[p]
-                while k < len(keys) and keys[k] == grams[p]:
-                    found.add((d, int(items[k])))
-                    k += 1
-        for d, k in sorted(found):
+            doc, low = np.divmod(np.unique(doc[inside] * len(keys) + low[at[inside]]), len(keys))
+            times = np.searchsorted(keys, keys[low], "right") - low
+            ends = np.cumsum(times)
+            a = 0
+            while a < len(doc):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] - times[a] + HITS, "right")))
+                b = int(np.searchsorted(doc, doc[b - 1], "right"))
+                n = times[a:b]
+                d, entry = np.repeat(doc[a:b], n), np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                k, q = items[entry], places[entry]
+                by = np.lexsort((q, k, d))
+                d, k, q = d[by], k[by], q[by]
+                new = np.ones(len(d), bool)
+                new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+                covered = np.full(len(d), size)
+                covered[1:] = np.where(new[1:], size, np.minimum(size, q[1:] - q[:-1]))
+                begin = np.flatnonzero(new)
+                keep = begin[np.add.reduceat(covered, begin) / self.lengths[k[begin]] >= coverage]
+                yield from zip(d[keep].tolist(), k[keep].tolist())
+                a = b
+
+    def matches(self, words: np.ndarray, first: np.ndarray, coverage: float):
+        """(document, item, tiles, covered share) of the pairs that reach ``coverage``."""
+        for d, k in sorted(self.candidates(words, first, coverage)):
             own, item = words[first[d] : first[d + 1]], self.words[k]
-            if np.isin(item, own).mean() < coverage:
-                continue
             tiles = tilings(own, item)
             share = sum(n for _, _, n in tiles) / len(item)
             if share >= coverage:
@@ -153,8 +171,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     """doc_id, item_id, coverage, n_tiles, n_matched, tiles: every document that holds at least ``coverage`` of an item's words in tiles.
 
     Words are runs of letters, digits, ``_`` and non-ASCII characters, lower-cased.
-    A document and an item become a candidate by sharing a seed of five words
-    (an item of fewer words: all of them); tiles take three words or more. The
+    Tiles take three words or more (of an item of fewer words: all of them). A document and an item become a
+    candidate when the runs of three words that they share cover enough of the item. The
     tiles may stand anywhere and in any order, so reordered passages count. The
     items are matched in blocks of bounded size, each sent to all tasks; documents
     are never shuffled. Null and empty texts match nothing; items with a null

@@ -245,3 +245,20 @@ def test_urls_by_every_part(spark):
     combos = [(c & 1, c >> 1 & 1, c >> 2 & 1, c >> 3 & 1) for c in range(16)]
     rows = [("http://h/" + "/".join(n for n, on in zip(("aa", "bb", "cc", "dd"), c) if on), all(c)) for c in combos for _ in range(12)]
     assert [r.rule for r in url_rules.mined(spark.createDataFrame(rows, "url string, unwanted boolean")).collect()] == ["path:aa path:bb path:cc path:dd"]
+
+
+def test_decontamination_of_short_pieces(spark):
+    w = [f"w{k}" for k in range(40)]
+    changed = [x if k % 5 != 4 else "other" for k, x in enumerate(w)]
+    pieces = [x for k in range(36, -1, -4) for x in w[k : k + 4]]
+    few = [x if k % 4 != 3 else "other" for k, x in enumerate(w)]
+    texts = [changed, pieces, few, w, w[1:4] + w[:1], w[:2], ["a"] * 9, []]
+    docs = spark.createDataFrame([(k, " ".join(["x", *t, "y"])) for k, t in enumerate(texts)], "doc_id long, text string")
+    items = [w, w[:4], w[:2], ["a"] * 7, w[10:11], w[5:17]]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, round(r.coverage, 6)) for r in decontam.contaminated_pairs(docs, bench).collect())
+    number = {x: k for k, x in enumerate(sorted({y for t in texts + items for y in t} | {"x", "y"}))}
+    coded = lambda t: np.array([number[x] for x in t], "u8")
+    share = lambda t, i: sum(n for _, _, n in decontam.tilings(coded(["x", *t, "y"]), coded(i))) / len(i)
+    want = sorted((d, k, round(share(t, i), 6)) for d, t in enumerate(texts) for k, i in enumerate(items) if share(t, i) >= 0.8)
+    assert got == want and {(0, 0, 0.8), (1, 0, 1.0)} <= set(got) and not any(d == 2 and k == 0 for d, k, _ in got)
