@@ -14,6 +14,8 @@ from .html_labels import labelled_pages
 #: Fixed values of the HTML standard: elements without content, whose content is text, that break lines, and that close an open paragraph or their like.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select object canvas video audio".split())
+#: Of these, what browsers take as text up to the page's end when it is not closed; the others are then elements like any.
+TO_END = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset(
     "html head body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend label button blockquote pre figure figcaption address hr br details summary dialog menu hgroup center".split()
 )
@@ -47,11 +49,12 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
 
     Text of one block is cut where a block element begins or ends; character references
     are decoded and white space is one space. Scripts, styles, other raw elements, comments and
-    hidden elements give no blocks. Open elements may stay unclosed.
+    hidden elements give no blocks; a raw element outside TO_END that is never closed is like any other. Open elements may stay unclosed.
     """
     out, stack, parts = [], [], []
     links = inside = hidden = 0
     a = 0
+    unclosed = set()
 
     def flush():
         nonlocal parts, links, inside
@@ -92,11 +95,14 @@ def blocks(page: str) -> list[tuple[str, tuple, int, int]]:
                 if stack[k][0] in STOP and name not in STOP:
                     break
             continue
-        if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, a)
-                a = end.end() if end else len(page)
+        if name in RAW and m[3].rstrip().endswith("/"):
             continue
+        if name in RAW and name not in unclosed:
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, a)
+            if end or name in TO_END:
+                a = end.end() if end else len(page)
+                continue
+            unclosed.add(name)
         if name in BLOCK:
             flush()
             if name in ENDS_P:

@@ -262,3 +262,11 @@ def test_decontamination_of_short_pieces(spark):
     share = lambda t, i: sum(n for _, _, n in decontam.tilings(coded(["x", *t, "y"]), coded(i))) / len(i)
     want = sorted((d, k, round(share(t, i), 6)) for d, t in enumerate(texts) for k, i in enumerate(items) if share(t, i) >= 0.8)
     assert got == want and {(0, 0, 0.8), (1, 0, 1.0)} <= set(got) and not any(d == 2 and k == 0 for d, k, _ in got)
+
+
+def test_unclosed_raw_elements():
+    words = lambda page: [b[0] for b in html_crf.blocks(page)]
+    for name in sorted(html_crf.RAW):
+        rest = [] if name in html_crf.TO_END else ["one", "two"]
+        assert words(f"<p>zero</p><{name} a=b><p>one</p><{name}><p>two</p>") == ["zero", *rest]
+        assert words(f"<p>zero</p><{name}>gone</{name}><p>one</p><{name}/><p>two</p>") == ["zero", "one", "two"]
