@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.pytext import FLAGS, slug, strip, token_estimate
+from ..functions.pytext import FLAGS, slug, strip
 from ..plans.registry import query
-from ..sources.corpus import PAGES_SQL, assembled, lines, page_rows
+from ..sources.corpus import PAGES_SQL, lines, page_rows
 
 MARKER = r"<!-- Page (\d+) -->"
 #: A table: header, rule and body rows. Spark needs the possessive body, which ends recursion; it matches the same.
@@ -180,9 +180,12 @@ def fetch_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {PAGES_SQL} SELECT doc_id, 'full' AS asset_id, nullif(md, '') IS NOT NULL AS success, length(md) // 4 AS tokens FROM corpus WHERE doc_id IN ('doc_src1', 'doc_src2')")
-def fetch_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = assembled(page_rows(spark, sf_dir).where("doc_id in ('doc_src1', 'doc_src2')"))
-    return md.select("doc_id", F.lit("full").alias("asset_id"), F.nullif("md", F.lit("")).isNotNull().alias("success"), token_estimate(F.col("md")).alias("tokens"))
+def fetch_full_text(spark: SparkSession, sf_dir: str, doc_ids: list[str] | None = None) -> DataFrame:
+    """The full text's row of each document, or of those asked for; an empty text is missing. Its length is the pages' and the line feeds' between them, so no document is put together. The SQL asks for two."""
+    pages = page_rows(spark, sf_dir)
+    asked = pages.where(F.col("doc_id").isin(doc_ids)) if doc_ids is not None else pages
+    n = asked.groupBy("doc_id").agg((F.coalesce(F.sum(F.length("t")), F.lit(0)) + F.greatest(F.count("t") - 1, F.lit(0))).alias("n"))
+    return n.select("doc_id", F.lit("full").alias("asset_id"), (F.col("n") > 0).alias("success"), F.floor(F.col("n") / 4).alias("tokens"))
 
 
 REQUESTS = "(VALUES ('doc_src1','table','tab_1'),('doc_src1','table','tab_9999'),('doc_src2','section','SOURCE SRC2'),('doc_src2','section','nope'),('doc_src3','full_text','full'),('doc_none','table','tab_1'),('doc_src3','video','x')) AS r(doc_id, asset_type, asset_id)"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkquire.functions.pytext import strip
 from sparkquire.operators import chunking as C
 from sparkquire.operators import geometry, graph, manifest, records, scalars
+from sparkquire.sources.corpus import assembled
 
 PAGE_TEXT = "\n<!-- Page 1 -->\n\n# Test Title\n\n## Introduction\n\nText here.\n\n<!-- Page 2 -->\n## Methods\n\n| a | b | c |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 4 | 5 | 6 |\n\n### Data\u00a0Collection\nmore"
 
@@ -185,3 +186,13 @@ def test_graph_covers_whole_texts(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     edges = {(r.source, r.target): r.weight for r in graph.kg_build(spark, str(tmp_path)).collect()}
     assert edges["Anna Bell", "Karl Ito"] == 3 and want["Cut Name", "Eve Fox"] == 1 and ("Cut Name", "Karl Ito") not in want
+
+
+def test_full_text_of_every_document(spark):
+    d = "/root/testdata/sf0.001"
+    got = {r.doc_id: tuple(r) for r in manifest.fetch_full_text(spark, d).collect()}
+    assert set(got) == {r.doc_id for r in manifest.page_rows(spark, d).select("doc_id").distinct().collect()} and len(got) > 2
+    whole = {r.doc_id: len(r.md) // 4 for r in assembled(manifest.page_rows(spark, d)).collect()}
+    assert {k: r[3] for k, r in got.items()} == whole and all(r[2] for r in got.values())
+    two = manifest.fetch_full_text(spark, d, ["doc_src1", "doc_src2"]).collect()
+    assert sorted(map(tuple, two)) == sorted(got[k] for k in ("doc_src1", "doc_src2"))
