@@ -4,23 +4,32 @@ A run is a random tree over the documents: each node splits its documents by
 one sampled shared token (the least under a random order of all tokens), small
 nodes are brute-forced, large ones split again, and runs repeat until every
 document's chance of a missed link is under the target. Equal sets collapse to one
-representative first, so copies are never expanded into pairs.
+class with one representative text first, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .common import checkpointed, free, joined
 from .components import components
 from .textops import U, chunks, hasher, mix, shingles, spans, unique_in
 
 SHINGLE, SIMILARITY = 5, 0.8
-RUNS, DEPTH, LIMIT, MISS = 6, 4, 200, 1e-3
-ROUNDS = 4
+RUNS, LIMIT, MISS = 6, 200, 1e-3
+
+
+def tree(n: int, similarity: float, miss: float) -> tuple[int, int]:
+    """(depth, rounds): how often a node splits at most, one time more for every tenfold of documents beyond ten million, and after
+    how many rounds of RUNS trees of that depth a pair at ``similarity`` is missed with a chance under ``miss``."""
+    depth = max(4, round(math.log10(max(n, 1))) - 3)
+    runs = math.ceil(math.log(miss) / math.log1p(-(similarity**depth))) if similarity < 1 else 1
+    return depth, -(-runs // RUNS)
 
 
 def _sets(batch: pa.RecordBatch | pa.Table, shingle: int):
@@ -35,13 +44,13 @@ def _orders(shingle: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return random.integers(1 << 63, size=n, dtype=U) | U(1), random.integers(1 << 63, size=n, dtype=U)
 
 
-def _signatures(shingle: int):
-    """doc_id, set key, set size, and the least token under each of ROUNDS * RUNS * DEPTH orders, 32 bits of it."""
-    by, plus = _orders(shingle, ROUNDS * RUNS * DEPTH)
+def _signatures(shingle: int, orders: int):
+    """doc_id, the text's mark, set key, set size, and the least token under each of the orders, 32 bits of it; no row for a text without words."""
+    by, plus = _orders(shingle, orders)
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, marks = batch.column("doc_id"), batch.column("mark")
             for a, b, values, begin in _sets(batch, shingle):
                 sizes, full = np.diff(begin), np.flatnonzero(np.diff(begin))
                 at = begin[full]
@@ -52,44 +61,46 @@ def _signatures(shingle: int):
                         least[:, k] = np.minimum.reduceat((values * by[k] + plus[k]) >> U(32), at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(a, b - a).take(pa.array(full)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                        *(c.slice(a, b - a).take(pa.array(full)) for c in (ids, marks)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
                         pa.array(sizes[full].astype(np.int32)), pa.array([r.tobytes() for r in least], pa.binary()),
                     ],
-                    ["doc_id", "k1", "k2", "n", "least"],
+                    ["doc_id", "mark", "k1", "k2", "n", "least"],
                 )
 
     return run
 
 
-def _paths(number: int):
+def _paths(number: int, depth: int):
     """One row for each run of this round: the path's hash at each depth."""
 
     def run(batches):
         for batch in batches:
-            got = np.frombuffer(b"".join(batch.column("least").to_pylist()), np.uint32).reshape(-1, ROUNDS, RUNS, DEPTH)[:, number].astype(U)
-            path = np.empty((len(got), RUNS, DEPTH), U)
+            if not batch.num_rows:
+                continue
+            got = np.frombuffer(b"".join(batch.column("least").to_pylist()), np.uint32).reshape(batch.num_rows, -1, RUNS, depth)[:, number].astype(U)
+            path = np.empty((len(got), RUNS, depth), U)
             h = np.broadcast_to(mix(np.arange(1, RUNS + 1, dtype=U) + U(number * RUNS)), got.shape[:2])
-            for d in range(DEPTH):
+            for d in range(depth):
                 h = mix(h * U(3) + got[:, :, d] + U(1))
                 path[:, :, d] = h
-            flat = path.reshape(-1, DEPTH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(len(got)), RUNS))), *(pa.array(np.ascontiguousarray(flat[:, d])) for d in range(DEPTH))], ["node", *(f"p{d}" for d in range(DEPTH))])
+            flat = path.reshape(-1, depth).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(np.repeat(np.arange(len(got)), RUNS))), *(pa.array(np.ascontiguousarray(flat[:, d])) for d in range(depth))], ["node", *(f"p{d}" for d in range(depth))])
 
     return run
 
 
-def _leaves(reps: DataFrame, number: int, limit: int) -> DataFrame:
+def _leaves(reps: DataFrame, number: int, limit: int, depth: int) -> DataFrame:
     """node, leaf, depth, size: where each representative ends up in each run of this round; leaves of one are there too."""
-    schema = "node long, " + ", ".join(f"p{d} long" for d in range(DEPTH))
-    rows, out = reps.select("node", "least").mapInArrow(_paths(number), schema), None
-    for d in range(DEPTH):
+    schema = "node long, " + ", ".join(f"p{d} long" for d in range(depth))
+    rows, out = reps.select("node", "least").mapInArrow(_paths(number, depth), schema), None
+    for d in range(depth):
         rows = checkpointed(rows)
         sizes = rows.groupBy(f"p{d}").agg(F.count("*").alias("size"))
-        sized = rows.join(sizes, f"p{d}")
-        stop = F.lit(True) if d == DEPTH - 1 else F.col("size") <= limit
+        sized = joined(rows, sizes, f"p{d}", "size", rows.count())
+        stop = F.lit(True) if d == depth - 1 else F.col("size") <= limit
         ended = checkpointed(sized.where(stop).select("node", F.col(f"p{d}").alias("leaf"), F.lit(d + 1).alias("depth"), "size"))
         out = ended if out is None else out.unionByName(ended)
-        if d == DEPTH - 1 or not (rows := sized.where(~stop).drop("size")).take(1):
+        if d == depth - 1 or not (rows := sized.where(~stop).drop("size")).take(1):
             return out
     return out
 
@@ -190,61 +201,93 @@ def _verify(shingle: int, similarity: float):
     return run
 
 
-def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, limit: int = LIMIT, miss: float = MISS) -> DataFrame:
-    """doc_id, class_id, n_links, group_id, kept: one row for each row of ``docs``.
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
-    Sets are the distinct runs of ``shingle`` words (lower-cased runs of letters,
-    digits, ``_`` and non-ASCII characters); a text of fewer words has one
-    shingle of them all. Two documents link when their sets' Jaccard similarity,
-    always computed exactly, is at least ``similarity``; a pair at that value is missed with
-    a chance under ``miss``. class_id: smallest doc_id with the same set; n_links:
-    other rows linked, equal sets included; group_id: smallest doc_id reachable by
-    links; kept: doc_id = group_id. Null, empty and wordless texts and null
-    doc_ids link with nothing. Repeated rows count as rows. doc_id is an integer.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = checkpointed(ids.where("doc_id is not null").mapInArrow(_signatures(shingle), "doc_id long, k1 long, k2 long, n int, least binary"))
-    classes = signed.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("least").alias("least"))
-    reps = checkpointed(classes)
-
-    leaves, todo, spent = None, reps, None
-    for number in range(ROUNDS):
-        part = _leaves(todo, number, limit)
+
+def grouped(docs: DataFrame, shingle: int, similarity: float, limit: int, miss: float) -> DataFrame:
+    """doc_id, mark (a hash of the text), class_id, n_links, group, group_id of each row with a doc_id and words; group tells groups apart whose least doc_id is the same."""
+    ids = _marked(docs).where("doc_id is not null")
+    depth, rounds = tree(docs.count(), similarity, miss)
+    signed = checkpointed(ids.mapInArrow(_signatures(shingle, rounds * RUNS * depth), "doc_id long, mark long, k1 long, k2 long, n int, least binary"))
+    classes = signed.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("least").alias("least"))
+    reps = checkpointed(classes.select("k1", "k2", "n", "rep.doc_id", "rep.mark", "copies", "least", F.monotonically_increasing_id().alias("node")))
+
+    leaves, todo = None, reps
+    for number in range(rounds):
+        part = _leaves(todo, number, limit, depth)
         leaves = part if leaves is None else leaves.unionByName(part)
-        chance = leaves.groupBy("node").agg(F.sum(F.log1p(-F.pow(F.lit(similarity), "depth"))).alias("chance"))
-        todo = reps.join(chance.where(F.col("chance") > float(np.log(miss))), "node", "left_semi")
-        if number + 1 < ROUNDS:
-            todo = checkpointed(todo)
+        if number + 1 < rounds:
+            # A rare token ends a path early and meets nobody, so each run of a node counts as one of its deepest.
+            chance = leaves.groupBy("node").agg((F.count("*") * F.log1p(-F.pow(F.lit(similarity), F.max("depth")))).alias("chance"))
+            todo = checkpointed(reps.join(chance.where(F.col("chance") > math.log(miss)), "node", "left_semi"))
             if not todo.take(1):
                 break
 
     shared = leaves.where("size > 1")
     marks = shared.groupBy("leaf").agg(F.max("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
     unlike = marks.groupBy("size", "s", "x").agg(F.min("leaf").alias("leaf")).select("leaf", F.col("size").alias("members"))
-    cells = checkpointed(shared.join(unlike, "leaf").select("node", "leaf", "members").distinct())
+    cells = checkpointed(joined(shared, unlike, "leaf", "members", leaves.count()).select("node", "leaf", "members").distinct())
     of = cells.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
     parts = F.ceil(F.col("members") / limit).cast("int")
     keyed = (
-        cells.join(of, "node").join(reps.select("node", "k1", "n", "copies"), "node")
+        cells.join(of, "node").join(reps.select("node", "k1", "n", "copies", "doc_id", "mark"), "node")
         .withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("cell", F.xxhash64("leaf", F.least("part", "other"), F.greatest("part", "other"))).drop("parts", "members")
     )
-    texts = keyed.join(ids.withColumnRenamed("doc_id", "node"), "node")
+    texts = keyed.join(ids.dropDuplicates(["doc_id", "mark"]), ["doc_id", "mark"])
     found = checkpointed(
         texts.repartition("cell").sortWithinPartitions("cell", "node").select("cell", "leaf", "node", "part", "other", "k1", "n", "copies", "leaves", "text")
         .mapInArrow(_verify(shingle, similarity), "node long, links long, root long")
     )
-    release(docs.sparkSession)
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "group_id")
+    own = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "group")
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = reps.select("k1", "k2", "n", "node", "copies").join(linked, "node", "left").join(groups, "node", "left").select("k1", "k2", "n", F.col("node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "node").alias("group_id"))
-    done = signed.drop("least").join(per_class, ["k1", "k2", "n"]).select("doc_id", "class_id", "n_links", "group_id")
+    per = reps.drop("least", "mark").join(linked, "node", "left").join(own, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    per = checkpointed(per.select("k1", "k2", "n", "copies", F.col("doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group"))
+    least = per.groupBy("group").agg(F.min("class_id").alias("group_id"), F.count("*").alias("size"))
+    per = checkpointed(joined(per, least, "group", "size", per.count()).drop("size"))
+    return joined(signed.drop("least"), per, ["k1", "k2", "n"], "copies", signed.count()).select("doc_id", "mark", "class_id", "n_links", "group", "group_id")
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, limit: int = LIMIT, miss: float = MISS) -> DataFrame:
+    """doc_id, class_id, n_links, group_id, kept: one row for each row of ``docs``.
+
+    Sets are the distinct runs of ``shingle`` words (lower-cased runs of letters,
+    digits, ``_`` and non-ASCII characters); a text of fewer words has one
+    shingle of them all. Two documents link when their sets' Jaccard similarity,
+    always computed exactly, is at least ``similarity``; a pair at that value is missed with
+    a chance under ``miss``, at any similarity. class_id: smallest doc_id with the same set; n_links:
+    other rows linked, equal sets included; group_id: smallest doc_id reachable by
+    links; kept: doc_id = group_id. Null, empty and wordless texts and null
+    doc_ids link with nothing. Rows that repeat a doc_id, with the same text or another, count as rows of their own. doc_id is an integer.
+    Texts of any length are taken whole; an empty table gives an empty result; other columns are not read.
+    """
+    done = grouped(docs, shingle, similarity, limit, miss).select("doc_id", "class_id", "n_links", "group_id")
+    ids = _marked(docs)
     alone = ids.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group_id"))
     wordless = ids.where("doc_id is not null").mapInArrow(_wordless, "doc_id long").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id"))
     return done.unionByName(alone).unionByName(wordless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("group_id"), F.lit(False)))
 
 
+def one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, limit: int = LIMIT, miss: float = MISS) -> DataFrame:
+    """The rows of ``docs``, all columns kept, without near copies: of each group of `jaccard_groups` the row with the smallest doc_id.
+
+    Of rows with that doc_id the one with the least hash of its text stays, of those with equal texts the one with the least hash of all its
+    columns: the choice follows from the rows alone. Rows without a doc_id or without words are in no group and stay.
+    """
+    found = checkpointed(grouped(docs, shingle, similarity, limit, miss).select("doc_id", "mark", "group"))
+    sizes = found.groupBy("group", "doc_id", "mark").agg(F.count("*").alias("n"))
+    first = sizes.groupBy("group").agg(F.min(F.struct("doc_id", "mark", "n")).alias("k")).select("k.*")
+    doc, mark, n = (free(docs, c) for c in ("doc", "mark", "n"))
+    named = lambda t: t.select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), *([F.col("n").alias(n)] if "n" in t.columns else []))
+    of = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(mark))
+    gone = sizes.select("doc_id", "mark").join(first, ["doc_id", "mark"], "left_anti")
+    left = docs.join(named(gone), of, "left_anti").join(named(first), of, "left")
+    one = left.where(F.col(n) > 1).groupBy(doc, mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return left.where(F.coalesce(n, F.lit(1)) == 1).select(*docs.columns).unionByName(one)
+
+
 def _wordless(batches):
     for batch in batches:
         for a, b, data, offs in chunks(batch):

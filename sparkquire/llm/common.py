@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which an execution's shuffle files go as soon as it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: `joined` sends the rows of a key to one task only while they are at most one in HOT of all.
+HOT = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Only a local master may leave it unset, and gets a folder of this machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = getattr(spark, "_quire_scratch", None) or tempfile.mkdtemp(prefix="quire-")
         spark._quire_scratch = named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -23,25 +30,49 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Executions made within delete their shuffle files when they end."""
+    was = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, was)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so no later stage recomputes it."""
+    """``df`` computed once and kept in the shared folder, so no later stage recomputes it; its shuffle files go at once."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, made longer until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished work that nothing refers to any more."""
-    for _ in range(4):  # references end in turns: Python's proxies, plans, shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+
+def joined(rows: DataFrame, by: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them at most, joined on ``key`` with ``by``, which holds a row for each key and in ``count`` how many of ``rows`` have it.
+
+    Keys of more than one row in HOT go by broadcast, at most HOT of them, so that their rows stay where they are and no task gets all rows of such a key.
+    """
+    keys, least = [key] if isinstance(key, str) else key, max(total // HOT, 100)
+    often = F.broadcast(by.where(F.col(count) > least))
+    seldom = rows.join(often.select(*keys), keys, "left_anti").join(by.where(F.col(count) <= least), keys)
+    return rows.join(often, keys).unionByName(seldom)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder and read again; its path is for `forget`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,6 +5,8 @@ leftmost of ties), so equal windows always meet in that string's shard. A
 shard adds its windows in document order: each new batch gets a suffix array,
 is merge-scanned against the existing levels, and equal-sized levels merge,
 so that n windows need about log n levels and each window moves log n times.
+Runs of windows that a batch of texts repeats whole are found before that, in
+a sparse suffix array of the batch, of the suffixes where a run starts.
 """
 
 from __future__ import annotations
@@ -17,15 +19,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release
+from .chosen_path import _groups
+from .common import checkpointed, free
 from .textops import BASE, CHUNK, U, chunks, mix
 
 LENGTH, ANCHOR = 50, 16
 MOST = 2 * LENGTH - ANCHOR
-WIDE = (MOST + 7) // 8 * 8
+#: A row's bytes, and its size in the last of them.
+WIDE = MOST // 8 * 8 + 8
 SIDE = (LENGTH - ANCHOR) // 2
 BATCH_BYTES, SHARD_BYTES, LEVEL, PACK = 8 << 20, 6 << 20, 1 << 16, 5
 SLICE = 4 << 20
+#: How many shards a batch addresses; where there are more, a second exchange divides them.
+FAN = 4096
+#: One document in SAMPLE is looked at for anchors that would fill a shard alone, of which there are HOT at most, 8 bytes each.
+SAMPLE, HOT = 256, 1 << 20
 _HALF = U((1 << 38) - 1) << U(26)
 _ROW = np.random.default_rng(50).integers(1 << 63, size=WIDE // 8, dtype=U) | U(1)
 
@@ -66,17 +74,19 @@ def _rows_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return rows
 
 
+def _sized(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows as strings that are equal only for equal segments: the size is the last byte."""
+    rows = rows.copy()
+    rows[:, -1] = size
+    return rows.view(f"S{WIDE}").ravel()
+
+
 def _same(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal segments together, and where a different one begins; rare hash collisions may split equals."""
-    key = mix((rows.view(U) * _ROW).sum(1) + size.astype(U) * U(BASE))
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(order), bool)
-    k, s = key[order], size[order]
-    maybe = np.flatnonzero((k[1:] == k[:-1]) & (s[1:] == s[:-1]))
-    for at in range(0, len(maybe), 1 << 16):
-        m = maybe[at : at + (1 << 16)]
-        new[m[(rows[order[m]] == rows[order[m + 1]]).all(1)] + 1] = False
-    return order, new
+    """The sparse suffix array of segments, their byte order, and where in it a different one begins."""
+    text = _sized(rows, size)
+    order = np.argsort(text, kind="stable")
+    text = text[order]
+    return order, np.append(np.ones(min(1, len(order)), bool), text[1:] != text[:-1])
 
 
 def _later(doc: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -115,25 +125,56 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(OUT)], schema=OUT)
 
 
-def _segments(shards: int):
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes."""
+    return mix((rows.view(U) * _ROW[: rows.shape[1] // 8]).sum(1))
+
+
+def _key(rows: np.ndarray, off: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """What equal windows share: a hash of the segment's anchor, or of all of a ``whole`` segment, which is one window."""
+    key = _sums(np.take_along_axis(rows, off[:, None] + np.arange(ANCHOR), 1))
+    if whole.any():
+        key[whole] = _sums(rows[whole])
+    return key
+
+
+def _loads(shard: np.ndarray, shards: int, doc, mark, pos, size, off, whole, rows):
+    """(shard, packed segments) for each of the shards that has some."""
+    keep = np.argsort(shard, kind="stable")
+    cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
+    pack = zstandard.ZstdCompressor(level=PACK)
+    for s in np.flatnonzero(np.diff(cuts)):
+        at = keep[cuts[s] : cuts[s + 1]]
+        body = rows[at][np.arange(WIDE) < size[at][:, None]]
+        parts = [np.array([len(at)]), doc[at], mark[at], pos[at], size[at].astype(np.uint8), (off[at] + 128 * whole[at]).astype(np.uint8), body]
+        yield int(s), pack.compress(b"".join(p.tobytes() for p in parts))
+
+
+def _split(doc, mark, pos, size, off, anchor, rows, hot):
+    """The segments, those with a hot anchor as single windows, and which these are."""
+    whole = np.isin(anchor, hot)
+    if not whole.any():
+        return doc, mark, pos, size, off, whole, rows
+    n = np.where(whole, size - LENGTH + 1, 1)
+    seg = np.repeat(np.arange(len(n)), n)
+    into = np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
+    size = np.where(whole, LENGTH, size)[seg]
+    padded = np.pad(rows, ((0, 0), (0, WIDE)))
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, WIDE, 1)[seg, into])
+    rows[np.arange(WIDE) >= size[:, None]] = 0
+    return doc[seg], mark[seg], pos[seg] + into, size, off[seg] - into, whole[seg], rows
+
+
+def _segments(shards: int, hot: np.ndarray):
     """For each shard a packed load of segments (doc_id null), and intervals already settled in this batch, which only pass through a shard."""
 
     def settle(held):
-        doc, mark, pos, size, off, anchor, rows = (np.concatenate(x) for x in zip(*held))
-        order, new = _same(rows, size)
-        later = _later(doc, order, new)
+        doc, mark, pos, size, off, whole, rows = _split(*(np.concatenate(x) for x in zip(*held)), hot)
+        later = _later(doc, *_same(rows, size))
         out = [(r[0] % shards, *r) for r in _joined(doc[later], mark[later], pos[later], pos[later] + size[later])]
-        shard = (mix(anchor ^ U(BASE)) % U(shards)).astype(np.int64)
-        keep = np.flatnonzero(~later)
-        keep = keep[np.argsort(shard[keep], kind="stable")]
-        cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
-        pack = zstandard.ZstdCompressor(level=PACK)
-        for s in np.flatnonzero(np.diff(cuts)):
-            at = keep[cuts[s] : cuts[s + 1]]
-            body = rows[at][np.arange(WIDE) < size[at][:, None]]
-            parts = [np.array([len(at)]), doc[at], mark[at], pos[at], size[at].astype(np.uint8), off[at].astype(np.uint8), body]
-            out.append((int(s), None, None, pack.compress(b"".join(p.tobytes() for p in parts))))
-        return out
+        doc, mark, pos, size, off, whole, rows = (x[~later] for x in (doc, mark, pos, size, off, whole, rows))
+        shard = (_key(rows, off, whole) % U(shards)).astype(np.int64)
+        return out + [(s, None, None, load) for s, load in _loads(shard, shards, doc, mark, pos, size, off, whole, rows)]
 
     def run(batches):
         held, total = [], 0
@@ -156,6 +197,37 @@ def _segments(shards: int):
     return run
 
 
+def _divide(fine: int):
+    """Loads of each shard, many at a time, as loads of its ``fine`` parts; rows come in the order of shards."""
+
+    def run(batches):
+        for group in _groups(batches, "shard"):
+            shard, loads = group.column("shard")[0].as_py(), group.filter(group.column("doc_id").is_null()).column("load").to_pylist()
+            yield from group.filter(group.column("doc_id").is_valid()).to_batches()
+            held, total = [], 0
+            for k, load in enumerate(loads):
+                held.append(_unpack(load))
+                total += held[-1][-1].size
+                if total >= 4 * BATCH_BYTES or k + 1 == len(loads):
+                    doc, mark, pos, size, off, whole, rows = (np.concatenate(x) for x in zip(*held))
+                    part = (mix(_key(rows, off, whole) ^ U(BASE)) % U(fine)).astype(np.int64)
+                    yield _out([(shard * fine + s, None, None, x) for s, x in _loads(part, fine, doc, mark, pos, size, off, whole, rows)])
+                    held, total = [], 0
+
+    return run
+
+
+def _anchors(batches):
+    """Each anchor of this batch's distinct segments and how many hold it."""
+    for batch in batches:
+        for _, _, data, offs in chunks(batch):
+            start, count, _, h = windows(data, offs)
+            if len(start):
+                order, new = _same(_rows_of(data, start, count + LENGTH - 1), count + LENGTH - 1)
+                anchor, n = np.unique(h[order[new]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
+
+
 class Level:
     """A suffix array: the text of some segments, the starts of their distinct windows in byte order, and the least document of each."""
 
@@ -178,20 +250,27 @@ class Level:
         first = order[new]
         return Level(text, at[first], doc[first]), order, place, doc > doc[first][place]
 
+    @staticmethod
+    def _merge(mine: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of two sorted arrays one after the other, and which in it equal the one before. The stable sort is a timsort, which finds the two runs and merges them."""
+        both = np.concatenate([mine, theirs])
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        return order, np.append(np.zeros(min(1, len(both)), bool), both[1:] == both[:-1])
+
     def scan(self, keys: np.ndarray) -> np.ndarray:
-        """The least document of each of the sorted ``keys`` here; the largest integer where there is none."""
-        mine = self.keys()
-        at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
-        return np.where(mine[at] == keys, self.doc[at], np.iinfo(np.int64).max)
+        """The least document of each of the sorted, distinct ``keys`` here, by one merge; the largest integer where there is none."""
+        order, again = self._merge(self.keys(), keys)
+        out = np.full(len(keys), np.iinfo(np.int64).max)
+        at = np.flatnonzero(again)
+        out[order[at] - len(self.array)] = self.doc[order[at - 1]]
+        return out
 
     def merged(self, new: Level) -> Level:
-        """Both in one array; of equal windows the one of this, the older level stays."""
+        """Both in one array, by one merge; of equal windows the one of this, the older level stays."""
         both = Level(np.concatenate([self.text, new.text]), np.concatenate([self.array, new.array + len(self.text)]), np.concatenate([self.doc, new.doc]))
-        keys = both.keys()
-        order = np.argsort(keys, kind="stable")
-        keep = np.ones(len(order), bool)
-        keep[1:] = keys[order[1:]] != keys[order[:-1]]
-        return Level(both.text, both.array[order[keep]], both.doc[order[keep]])
+        order, again = self._merge(self.keys(), new.keys())
+        return Level(both.text, both.array[order[~again]], both.doc[order[~again]])
 
 
 class Family:
@@ -221,7 +300,7 @@ def _unpack(load: bytes):
     size, off = (np.frombuffer(raw, np.uint8, n, 8 + 24 * n + n * k).astype(np.int64) for k in range(2))
     rows = np.zeros((n, WIDE), np.uint8)
     rows[np.arange(WIDE) < size[:, None]] = np.frombuffer(raw, np.uint8, offset=8 + 26 * n)
-    return doc, mark, pos, size, off, rows
+    return doc, mark, pos, size, off & 127, off > 127, rows
 
 
 def _several(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -243,7 +322,7 @@ def _meeting(rows: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarra
         if len(k):
             part = np.zeros((len(k), 40), np.uint8)
             part[:, : ANCHOR + SIDE] = np.take_along_axis(rows[k], begin[k, None] + np.arange(ANCHOR + SIDE), 1)
-            out[k] |= _several(mix((part.view(U) * _ROW[:5]).sum(1)), doc[k])
+            out[k] |= _several(_sums(part), doc[k])
     return out
 
 
@@ -253,10 +332,8 @@ def _shard(table: pa.Table) -> pa.Table:
     loads = table.filter(table.column("doc_id").is_null()).column("load").to_pylist()
     if not loads:
         return settled
-    doc, mark, pos, size, off, rows = (np.concatenate(x) for x in zip(*map(_unpack, loads)))
-    at = off[:, None] + np.arange(ANCHOR)
-    anchor = mix((np.take_along_axis(rows, at, 1).view(U) * _ROW[:2]).sum(1))
-    use = np.flatnonzero(_several(anchor, doc))
+    doc, mark, pos, size, off, whole, rows = (np.concatenate(x) for x in zip(*map(_unpack, loads)))
+    use = np.flatnonzero(_several(_key(rows, off, whole), doc))
     use = use[_meeting(rows[use], size[use], off[use], doc[use])] if len(use) else use
     found = []
     if len(use):
@@ -284,21 +361,38 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.concat_tables([settled, pa.Table.from_batches([_out(rows_out)])])
 
 
-def _spans(docs: DataFrame) -> DataFrame:
-    """quire_id, quire_mark (a hash of the text), quire_spans, of each text that loses bytes; in the shared folder."""
+def _hot(keyed: DataFrame, shard_bytes: int, sample: int) -> np.ndarray:
+    """Anchors that more segments hold than a shard should have, by the documents that a hash picks. Only where segments go depends on them, no result."""
+    some = keyed.where(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(sample)) == 0).mapInArrow(_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    least = max(2, 2 * shard_bytes // (LENGTH - ANCHOR + 1) // sample)
+    return np.sort(np.array([r.anchor for r in some.where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(HOT).collect()], np.int64).view(U))
+
+
+def _spans(docs: DataFrame, shard_bytes: int, fan: int, sample: int) -> DataFrame:
+    """id, mark (a hash of the text), spans, of each text that loses bytes; in the shared folder.
+
+    Work is dealt in shards of about ``shard_bytes`` of text, one partition each, however large the table; a batch of texts
+    writes loads for ``fan`` of them at most, which a second exchange divides where there are more.
+    """
     schema = "shard long, doc_id long, mark long, load binary"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(64, -(-total // SHARD_BYTES))
+    shards = max(64, -(-total // shard_bytes))
+    coarse = min(shards, fan)
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    found = keyed.mapInArrow(_segments(shards), schema).groupBy("shard").applyInArrow(_shard, schema)
-    return checkpointed(found.groupBy(F.col("doc_id").alias("quire_id"), F.col("mark").alias("quire_mark")).agg(F.collect_list("load").alias("quire_spans")))
+    found = keyed.mapInArrow(_segments(coarse, _hot(keyed, shard_bytes, sample)), schema)
+    if shards > coarse:
+        fine = -(-shards // coarse)
+        shards = coarse * fine
+        found = found.repartition(shards, "shard", F.spark_partition_id() % fine).sortWithinPartitions("shard").mapInArrow(_divide(fine), schema)
+    found = found.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard, schema)
+    return checkpointed(found.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list("load").alias("spans")))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column quire_spans: loads of the byte intervals to remove, null where there are none."""
-    spans = _spans(docs)
-    release(docs.sparkSession)
-    return docs.join(spans, (F.col("doc_id").cast("long") == F.col("quire_id")) & (F.xxhash64("text") == F.col("quire_mark")), "left").drop("quire_id", "quire_mark")
+def with_spans(docs: DataFrame, name: str, shard_bytes: int = SHARD_BYTES, fan: int = FAN, sample: int = SAMPLE) -> DataFrame:
+    """``docs`` with a column ``name``: loads of the byte intervals to remove, null where there are none."""
+    doc, mark = free(docs, "doc"), free(docs, "mark")
+    spans = _spans(docs, shard_bytes, fan, sample).select(F.col("id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(name))
+    return docs.join(spans, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(mark)), "left").drop(doc, mark)
 
 
 def _cut(text: bytes, loads: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -316,33 +410,38 @@ def _cut(text: bytes, loads: list[bytes] | None) -> tuple[bytes, int, int]:
 def _digest(batches):
     for batch in batches:
         texts = (t.as_py() or b"" for t in batch.column("text").cast(pa.large_binary()))
-        rows = [(len(t), *_cut(t, s.as_py())) for t, s in zip(texts, batch.column("quire_spans"))]
+        rows = [(len(t), *_cut(t, s.as_py())) for t, s in zip(texts, batch.column("spans"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 2, 3)), pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows])],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         )
 
 
-def _trim(batches):
-    for batch in batches:
-        texts = [None if not t.is_valid else _cut(t.as_py(), s.as_py())[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").cast(pa.large_binary()), batch.column("quire_spans"))]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["quire_spans"])
+def _trim(name: str):
+    def run(batches):
+        for batch in batches:
+            texts = [None if not t.is_valid else _cut(t.as_py(), s.as_py())[0].decode("utf-8", "ignore") for t, s in zip(batch.column("text").cast(pa.large_binary()), batch.column(name))]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([name])
+
+    return run
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def removed_spans(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of ``docs``.
 
     A byte goes when a 50-byte string that covers it also starts in a document
     with a smaller doc_id, judged on the whole input texts as UTF-8; matches
     never cross documents. Null texts count as empty. Rows that repeat a doc_id
     are one document, so none of them is the smaller; rows with a null doc_id neither lose
-    bytes nor make others lose any. Other columns are not read.
+    bytes nor make others lose any. Texts of any length are taken whole, in slices that overlap. An empty table gives an empty result.
+    Other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs.select("doc_id", "text")).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs.select("doc_id", "text"), "spans", **how).mapInArrow(_digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, **how) -> DataFrame:
     """All rows and columns of ``docs``, texts without the bytes that `removed_spans` counts; a character cut in two goes whole."""
-    return with_spans(docs).mapInArrow(_trim, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    name = free(docs, "spans")
+    return with_spans(docs, name, **how).mapInArrow(_trim(name), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
