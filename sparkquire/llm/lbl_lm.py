@@ -1,36 +1,42 @@
 """Corpus language model: a log-bilinear network trained by noise-contrastive estimation, and a smoothed unigram base.
 
-Words are counted over the whole corpus: each batch of texts sends its
-distinct words, packed by shard; a shard adds the counts up and answers each
-batch. The network predicts symbols: the commonest words, the end of a text,
+Words are counted over the whole corpus: each batch of texts sends one row for
+each of its distinct words, and the word's count comes back to the batch. The
+network predicts symbols: the commonest words, the end of a text,
 and for all other words a class by spelling, within which a word's share is
 its smoothed count. Two words of context score a symbol by two bilinear forms,
-so the normaliser of every context is one matrix product.
+so the normaliser of every context is one matrix product. Blocks of documents,
+dealt by a hash, train copies of the network, which are averaged after each of
+a few rounds: the result depends on the rows, not on how they are partitioned.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fold
+from .chosen_path import _groups
+from .common import checkpointed, fold, forget, stored
 from .textops import BASE, NOT_SPACE, U, chunks, hasher, mix, spans
 
 WORDS, SPELLINGS, WIDTH, NOISE = 1024, 128, 24, 128
 END, START = WORDS + SPELLINGS, WORDS + SPELLINGS + 1
 SYMBOLS = END + 1
-BATCH_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
-PILOT, BLOCK = 4, 2048
+#: Text of a batch, of a partition of words and of a training block; all their numbers grow with the table.
+BATCH_BYTES, SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20, 8 << 20
+ROUNDS, BLOCK = 2, 2048
+#: Tokens looked at together.
+RUN = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b".,;:!?|")] = True
 
-LOAD = pa.schema([("batch", pa.int64()), ("shard", pa.int64()), ("load", pa.binary())])
-
 
 def _pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
@@ -45,10 +51,6 @@ def _unpack(load: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(raw, k, (b - a) // np.dtype(k).itemsize, a) for k, a, b in zip(kinds, at[:-1], at[1:])]
 
 
-def _loads(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(LOAD)], schema=LOAD)
-
-
 def words_of(data: np.ndarray, offs: np.ndarray):
     """(hash, spelling class, each document's first word) of the words: bytes other than white space, A-Z lower-cased."""
     data = _LOWER[data]
@@ -60,117 +62,91 @@ def words_of(data: np.ndarray, offs: np.ndarray):
     return hasher(data)(starts, ends), spelling.astype(np.uint8), first
 
 
-def _count(shards: int):
-    """Loads of distinct words for each shard, with their training counts; and (shard -1) the batch's documents as word numbers in that order."""
-
-    def settle(held, ids, out_of):
-        words, spelling = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        sizes = np.concatenate([np.diff(h[2]) for h in held])
-        ids, out_of = np.concatenate(ids), np.concatenate(out_of)
-        keys, at, number = np.unique(words, return_index=True, return_inverse=True)
-        counts = np.bincount(number, np.repeat(~out_of, sizes), len(keys)).astype(np.int32)
-        shard = (mix(keys * U(BASE)) % U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(keys), np.int32)
-        place[order] = np.arange(len(keys))
-        keys, counts, kind, shard = keys[order], counts[order], spelling[at][order], shard[order]
-        batch = int(mix(np.array([np.add.reduce(words * U(3)) ^ np.add.reduce(mix(ids.view(U) + U(1)))], U)).view(np.int64)[0])
-        rows = [(batch, -1, _pack(place[number], sizes.astype(np.int32), ids, out_of, kind))]
-        cuts = np.searchsorted(shard, np.arange(shards + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[s], cuts[s + 1]
-            rows.append((batch, int(s), _pack(keys[a:b], counts[a:b], kind[a:b])))
-        return _loads(rows)
-
-    def run(batches):
-        held, ids, out_of, total = [], [], [], 0
-        for batch in batches:
-            own, out = batch.column("row_id").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
-            for a, b, data, offs in chunks(batch):
-                held.append(words_of(data, offs))
-                ids.append(own[a:b])
-                out_of.append(out[a:b])
-                total += len(data)
-                if total >= BATCH_BYTES:
-                    yield settle(held, ids, out_of)
-                    held, ids, out_of, total = [], [], [], 0
-        if held:
-            yield settle(held, ids, out_of)
-
-    return run
-
+COUNTED = pa.schema([("batch", pa.int64()), ("place", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("kind", pa.int32()), ("load", pa.binary())])
 
-def _sum_shard(keep: int):
-    """Answers to each batch: its words' counts in the corpus and their rank among the shard's ``keep`` commonest; (batch null) the shard's sums."""
 
-    def run(table: pa.Table) -> pa.Table:
-        batches, loads = table.column("batch").to_pylist(), [_unpack(x, U, np.int32, np.uint8) for x in table.column("load").to_pylist()]
-        shard = table.column("shard")[0].as_py()
-        every = np.concatenate([x[0] for x in loads])
-        keys, at, number = np.unique(every, return_index=True, return_inverse=True)
-        total = np.bincount(number, np.concatenate([x[1] for x in loads])).astype(np.int64)
-        kind = np.concatenate([x[2] for x in loads])[at]
-        top = np.lexsort((keys, -total))[:keep]
-        top = top[total[top] > 1]
-        rank = np.full(len(keys), -1, np.int16)
-        rank[top] = np.arange(len(top))
-        rows, begin = [], 0
-        for batch, x in zip(batches, loads):
-            own = number[begin : begin + len(x[0])]
-            begin += len(own)
-            rows.append((batch, shard, _pack(total[own], rank[own])))
-        tokens, distinct = np.bincount(kind, total, SPELLINGS).astype(np.int64), np.bincount(kind, total > 0, SPELLINGS).astype(np.int64)
-        rows.append((None, shard, _pack(tokens, distinct, total[top], kind[top], keys[top])))
-        return pa.Table.from_batches([_loads(rows)])
+def _count(batches):
+    """A row for each distinct word of a batch of texts, with its place among them and its training count; and (place -1) the batch's documents as such places."""
 
-    return run
-
-
-def _add_sums(batches):
-    """The token and word totals by spelling of this partition's shards, one row; and each shard's commonest words."""
+    def settle(held, ids, out_of, marks):
+        words, spelling = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        sizes = np.concatenate([np.diff(h[2]) for h in held]).astype(np.int32)
+        out_of = np.concatenate(out_of)
+        keys, at, number = np.unique(words, return_index=True, return_inverse=True)
+        counts = np.bincount(number, np.repeat(~out_of, sizes), len(keys)).astype(np.int64)
+        load = _pack(number.astype(np.int32), sizes, np.concatenate(ids), out_of, np.concatenate(marks), spelling[at])
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((batch_id, -1, None, None, None, load), COUNTED)], schema=COUNTED)
+        for k in range(0, len(keys), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            n = len(keys[part])
+            arrays = [pa.array(np.full(n, batch_id)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(keys[part].view(np.int64)), pa.array(counts[part]), pa.array(spelling[at][part].astype(np.int32)), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=COUNTED)
+
+    batch_id = TaskContext.get().partitionId() << 32
+    held, ids, out_of, marks, total = [], [], [], [], 0
     for batch in batches:
-        for shard, load in zip(batch.column("shard").to_pylist(), batch.column("load").to_pylist()):
-            tokens, distinct, total, kind, keys = _unpack(load, np.int64, np.int64, np.int64, np.uint8, U)
-            k = np.flatnonzero(tokens + distinct)
-            sizes = [len(k), len(total)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(["class", "word"], sizes)), pa.array(np.full(sum(sizes), shard)), pa.array(np.concatenate([k, kind]).astype(np.int64)),
-                    pa.array(np.concatenate([np.zeros(len(k), np.int64), np.arange(len(total))])), pa.array(np.concatenate([tokens[k], total])), pa.array(np.concatenate([distinct[k], np.ones(len(total), np.int64)])), pa.array(np.concatenate([np.zeros(len(k), U), keys]).view(np.int64)),
-                ],
-                ["what", "shard", "kind", "rank", "tokens", "words", "key"],
-            )
-
-
-RESOLVED = "batch long, row_id binary, held_out binary, sizes binary, symbols binary, known binary, log_all binary, log_rare binary"
+        own, out, mark = batch.column("row_id").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy()
+        for a, b, data, offs in chunks(batch):
+            held.append(words_of(data, offs))
+            ids.append(own[a:b])
+            out_of.append(out[a:b])
+            marks.append(mark[a:b])
+            total += len(data)
+            if total >= BATCH_BYTES:
+                yield from settle(held, ids, out_of, marks)
+                held, ids, out_of, marks, total = [], [], [], [], 0
+                batch_id += 1
+    if held:
+        yield from settle(held, ids, out_of, marks)
+
+
+ANSWERS = "batch long, place int, total long, pick long, key long, kind int"
+
+
+def _total(batches):
+    """Each row's word's count over the corpus, and its number if it may be one of the commonest WORDS; and (batch null) those words, and sums by spelling, whose place is -1 and whose key is how many words there are."""
+    table = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], COUNTED.remove(5))])
+    if not table.num_rows:
+        return
+    column = lambda c: table.column(c).to_numpy()
+    keys, at, number = np.unique(column("key"), return_index=True, return_inverse=True)
+    total, kind = np.bincount(number, column("n"), len(keys)).astype(np.int64), column("kind")[at]
+    top = np.lexsort((keys, -total))[:WORDS]
+    top = top[total[top] > 1]
+    pick = np.full(len(keys), -1)
+    pick[top] = np.arange(len(top)) + TaskContext.get().partitionId() * WORDS
+    names = ["batch", "place", "total", "pick", "key", "kind"]
+    answer = pa.table({"batch": table.column("batch"), "place": table.column("place"), "total": pa.array(total[number]), "pick": pa.array(pick[number]), "key": pa.nulls(len(number), pa.int64()), "kind": pa.nulls(len(number), pa.int32())})
+    yield from answer.to_batches(1 << 16)
+    tokens, words = np.bincount(kind, total, SPELLINGS).astype(np.int64), np.bincount(kind, total > 0, SPELLINGS).astype(np.int64)
+    for place, sums, picks, others, kinds in ((-1, tokens, np.full(SPELLINGS, -1), words, np.arange(SPELLINGS)), (0, total[top], pick[top], keys[top], kind[top])):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(sums), pa.int64()), pa.array(np.full(len(sums), place, np.int32)), pa.array(sums), pa.array(picks), pa.array(others), pa.array(kinds.astype(np.int32))], names)
+
+
+RESOLVED = "row_id long, held_out boolean, mark long, n_words long, symbols binary, known long, log_all double, log_rare double"
 
 
 def _resolve(vocabulary: np.ndarray):
-    """Each batch's documents as symbols, with their sums of log10(count + 1) over all words and over those that only a class stands for."""
+    """Each document of a batch as symbols, with its sums of log10(count + 1) over all words and over those that only a class stands for."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = list(zip(table.column("shard").to_pylist(), table.column("load").to_pylist()))
-        by = {s: x for s, x in rows if s >= 0}
-        return pa.concat_tables([one(table.column("batch")[0].as_py(), by, x) for s, x in rows if s < 0])
-
-    def one(batch: int, by: dict[int, bytes], own_load: bytes) -> pa.Table:
-        number, sizes, ids, out_of, kind = _unpack(own_load, np.int32, np.int32, np.int64, bool, np.uint8)
-        symbol, count = WORDS + kind.astype(np.int64), np.zeros(len(kind), np.int64)
-        begin = 0
-        for s in sorted(by):
-            c, rank = _unpack(by[s], np.int64, np.int16)
-            own = slice(begin, begin + len(c))
-            count[own] = c
-            begin += len(c)
-            code = (s << 16) + rank.astype(np.int64)
-            at = np.minimum(np.searchsorted(vocabulary[:, 0], code), max(len(vocabulary) - 1, 0))
-            if len(vocabulary):
-                hit = (vocabulary[at, 0] == code) & (rank >= 0)
-                symbol[own][hit] = vocabulary[at[hit], 1]
+        own = table.filter(pa.compute.equal(table.column("place"), -1)).column("load")[0].as_py()
+        number, sizes, ids, out_of, marks, kind = _unpack(own, np.int32, np.int32, np.int64, bool, np.int64, np.uint8)
+        words = table.filter(pa.compute.greater_equal(table.column("place"), 0))
+        place = words.column("place").to_numpy()
+        count, pick = np.zeros(len(kind), np.int64), np.full(len(kind), -1)
+        count[place], pick[place] = words.column("total").to_numpy(), words.column("pick").to_numpy()
+        symbol = WORDS + kind.astype(np.int64)
+        if len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary[:, 0], pick), len(vocabulary) - 1)
+            hit = vocabulary[at, 0] == pick
+            symbol[hit] = vocabulary[at[hit], 1]
         logs, doc = np.log10(count + 1.0), np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(doc, x[number], len(sizes)) if len(doc) else np.zeros(len(sizes))
-        out = [ids, out_of, sizes, symbol.astype(np.int16)[number], add(count > 0).astype(np.int32), add(logs), add(np.where(symbol >= WORDS, logs, 0.0))]
-        return pa.table({"batch": pa.array([batch]), **{n: pa.array([_pack(x)], pa.binary()) for n, x in zip(("row_id", "held_out", "sizes", "symbols", "known", "log_all", "log_rare"), out)}})
+        ends = np.concatenate(([0], np.cumsum(sizes.astype(np.int64) * 2)))
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(symbol.astype(np.int16)[number].tobytes())])
+        columns = [ids, out_of, marks, sizes.astype(np.int64), flat.cast(pa.binary()), add(count > 0).astype(np.int64), add(logs), add(np.where(symbol >= WORDS, logs, 0.0))]
+        return pa.table({f.split()[0]: x if isinstance(x, pa.Array) else pa.array(x) for f, x in zip(RESOLVED.split(", "), columns)})
 
     return run
 
@@ -191,6 +167,26 @@ def sequences(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return doc, w, one, two
 
 
+def token_runs(batch: pa.RecordBatch | pa.Table):
+    """`sequences` over the rows' symbols, whatever their length, some RUN tokens at a time."""
+    loads = batch.column("symbols").to_pylist()
+    symbols, cuts = np.frombuffer(b"".join(loads), np.int16), np.concatenate(([0], np.cumsum([len(x) // 2 for x in loads]))).astype(np.int64)
+    a = 0
+    while a < len(loads):
+        if cuts[a + 1] - cuts[a] > RUN:
+            for low in range(cuts[a], cuts[a + 1], RUN):
+                high, back = min(low + RUN, cuts[a + 1]), max(cuts[a], low - 2)
+                keep = slice(low - back, None if high == cuts[a + 1] else -1)
+                doc, w, one, two = sequences(symbols[back:high], np.array([high - back]))
+                yield a + doc[keep], w[keep], one[keep], two[keep]
+            a += 1
+            continue
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + RUN, "right")) - 1)
+        doc, w, one, two = sequences(symbols[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1]))
+        yield a + doc, w, one, two
+        a = b
+
+
 class LogBilinear:
     """score(w | u, v) = q_w . (a_u + b_v) + c_w; context rows hold the position's matrix already multiplied in."""
 
@@ -233,113 +229,113 @@ class LogBilinear:
         return first.astype(np.float32), second.astype(np.float32), z.astype(np.float32)
 
 
+#: Averages are sums of whole numbers, so their order does not matter.
+UNIT = float(1 << 32)
+
+
 def _trainer(model: LogBilinear, rate: float):
-    """A row of each parameter row, times the partition's training tokens, of the model that this partition's documents make of the shared one."""
+    """For each block the model that its documents make of the shared one, a row for each parameter row, and its training tokens."""
 
     def run(batches):
         import copy
 
-        own, n = copy.deepcopy(model), 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, one, two = _training(row)
-                own.learn(w, one, two, rate, n + 1)
-                n += len(w)
-        if n:
-            flat = np.concatenate([np.pad(x, ((0, 0), (0, WIDTH - x.shape[1]))) for x in own.p]).astype(np.float64) * n
+        for block in _groups(batches, "block"):
+            own, n, held = copy.deepcopy(model), 0, []
+            for k, (_, *tokens) in enumerate(token_runs(block)):
+                held.append(tokens)
+                n += len(tokens[0])
+            for k in range(0, len(held), 4):
+                own.learn(*(np.concatenate(x) for x in zip(*held[k : k + 4])), rate, k + 1)
+            flat = np.rint(np.concatenate([np.pad(x, ((0, 0), (0, WIDTH - x.shape[1]))) for x in own.p]).astype(np.float64) * UNIT).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.full(len(flat), n)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(WIDTH))], ["k", "n", *(f"x{k}" for k in range(WIDTH))])
 
     return run
 
 
-def _training(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    (out_of,), (sizes,), (symbols,) = _unpack(row["held_out"], bool), _unpack(row["sizes"], np.int32), _unpack(row["symbols"], np.int16)
-    doc, w, one, two = sequences(symbols, sizes)
-    use = ~out_of[doc]
-    return w[use], one[use], two[use]
+def trained(model: LogBilinear, blocks: DataFrame, rounds: int, rate: float) -> LogBilinear:
+    """``model`` after ``rounds`` rounds: every block trains it alone, then their parameters are averaged by tokens; each round halves the rate."""
+    names = [f"x{k}" for k in range(WIDTH)]
+    for number in range(rounds):
+        own = blocks.mapInArrow(_trainer(model, rate / 2**number), "k int, n long, " + ", ".join(f"{x} long" for x in names))
+        whole = own.groupBy("k").agg(F.sum("n").alias("n"), *(F.sum(F.col(x).cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).alias(x) for x in names))
+        mixed = whole.select("k", *((F.col(x) / F.col("n") / UNIT).cast("double").alias(x) for x in names)).toPandas().sort_values("k")
+        flat, begin = mixed[names].to_numpy(), 0
+        for k, x in enumerate(model.p if len(mixed) else ()):
+            model.p[k] = flat[begin : begin + len(x), : x.shape[1]].astype(np.float32)
+            begin += len(x)
+    return model
 
 
-def _scorer(tables, shares: np.ndarray, end_share: float, n: int, v: int, end_count: int):
+def _scorer(tables, shares: np.ndarray, n: int, v: int, end_count: int):
     first, second, z = tables
     flat = np.log10(np.e)
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                (ids,), (out_of,), (sizes,) = _unpack(row["row_id"], np.int64), _unpack(row["held_out"], bool), _unpack(row["sizes"], np.int32)
-                (symbols,), (known,), (log_all,), (log_rare,) = _unpack(row["symbols"], np.int16), _unpack(row["known"], np.int32), _unpack(row["log_all"], float), _unpack(row["log_rare"], float)
-                total = np.zeros(len(sizes))
-                cuts = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
-                a = 0
-                while a < len(sizes):
-                    b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + (1 << 18), "right")) - 1)
-                    doc, w, one, two = sequences(symbols[cuts[a] : cuts[b]], sizes[a:b])
-                    p = (first[one, w].astype(np.float64) + second[two, w] - z[one, two]) * flat + shares[w]
-                    total[a:b] = np.bincount(doc, p, b - a)
-                    a = b
-                score = total + log_rare
-                tokens = sizes.astype(np.int64) + 1
-                base = log_all + np.log10(end_count + 1) - tokens * np.log10(n + v + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(out_of), pa.array(tokens), pa.array(known.astype(np.int64) + (end_count > 0)), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(score)],
-                    ["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+            total = np.zeros(batch.num_rows)
+            for doc, w, one, two in token_runs(batch):
+                total += np.bincount(doc, (first[one, w].astype(np.float64) + second[two, w] - z[one, two]) * flat + shares[w], batch.num_rows)
+            tokens = batch.column("n_words").to_numpy() + 1
+            base = batch.column("log_all").to_numpy() + np.log10(end_count + 1) - tokens * np.log10(n + v + 1)
+            known = batch.column("known").to_numpy() + (end_count > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id"), batch.column("held_out"), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), n)), pa.array(base), pa.array(total + batch.column("log_rare").to_numpy())],
+                ["row_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, out: int = 2, rate: float = 0.2) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, out: int = 2, rate: float = 0.2, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
     Tokens: runs of bytes other than white space, A-Z lower-cased, then one end.
     All documents but those with crc32(doc_id) mod ``folds`` = ``out`` are counted and
-    trained on: first a pilot of PILOT batches on the driver, then every partition from there, averaged by
-    tokens. score is the log10 of a normalised probability: a word outside the
+    trained on, in blocks of about ``block_bytes`` of text that a hash of doc_id and text deals out, all of them in each of ``rounds`` rounds.
+    score is the log10 of a normalised probability: a word outside the
     vocabulary has its class's, times (c + 1) / (class tokens + class words + 1).
     Words are told apart by 64-bit hashes. Null texts count as empty; a text without words is its end.
-    Repeated rows count as rows; a null doc_id counts as empty text in the fold. doc_id is an integer.
-    An empty table gives an empty result.
+    Repeated rows count as rows and are scored one by one; those that repeat a doc_id and its text train once. A null doc_id counts as empty text in the fold. doc_id is an integer.
+    Texts of any length are taken whole. Of equally frequent words the one with the smaller hash enters the vocabulary first.
+    An empty table gives an empty result; other columns are not read.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(64, -(-total // SHARD_BYTES))
-    keep = min(WORDS, 4 * WORDS // shards + 32)
-    schema = "batch long, shard long, load binary"
+    lots = lambda size: max(16, -(-total // size))
     lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("row_id"), (fold(F.col("doc_id"), folds) == out).alias("held_out"), "text")
-    counted = checkpointed(rows.mapInArrow(_count(shards), schema))
-    answers = checkpointed(counted.where("shard >= 0").groupBy("shard").applyInArrow(_sum_shard(keep), schema))
-    sums = answers.where("batch is null").mapInArrow(_add_sums, "what string, shard long, kind long, rank long, tokens long, words long, key long")
-    by_class = sums.where("what = 'class'").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toPandas()
-    top = sums.where("what = 'word'").orderBy(F.desc("tokens"), "key").limit(WORDS).toPandas()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("row_id"), (fold(F.col("doc_id"), folds) == out).alias("held_out"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    counted, counted_path = stored(rows.mapInArrow(_count, "batch long, place int, key long, n long, kind int, load binary"))
+    answers, answers_path = stored(counted.where("place >= 0").drop("load").repartition(lots(SHARD_BYTES), "key").mapInArrow(_total, ANSWERS))
+    sums = answers.where("batch is null")
+    by_class = sums.where("place < 0").groupBy("kind").agg(F.sum("total").alias("tokens"), F.sum("key").alias("words")).toPandas()
+    top = sums.where("place = 0").orderBy(F.desc("total"), "key").limit(WORDS).toPandas()
     ends = rows.where(~F.col("held_out")).count()
     n, v = int(by_class.tokens.sum()) + ends, int(by_class.words.sum()) + (ends > 0)
 
     tokens, words = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     tokens[by_class.kind.to_numpy(int)], words[by_class.kind.to_numpy(int)] = by_class.tokens, by_class.words
-    tokens -= np.bincount(top.kind.to_numpy(int), top.tokens.to_numpy(float), SPELLINGS) if len(top) else 0
+    tokens -= np.bincount(top.kind.to_numpy(int), top.total.to_numpy(float), SPELLINGS) if len(top) else 0
     words -= np.bincount(top.kind.to_numpy(int), minlength=SPELLINGS) if len(top) else 0
-    vocabulary = np.stack([(top.shard.to_numpy(np.int64) << 16) + top["rank"].to_numpy(np.int64), np.arange(len(top))], 1)
+    vocabulary = np.stack([top["pick"].to_numpy(np.int64), np.arange(len(top))], 1)
     vocabulary = vocabulary[np.argsort(vocabulary[:, 0])]
     unigram = np.full(SYMBOLS, 0.5)
-    unigram[: len(top)] += top.tokens.to_numpy(float)
+    unigram[: len(top)] += top.total.to_numpy(float)
     unigram[WORDS:END] += tokens
     unigram[END] += ends
     shares = np.zeros(SYMBOLS)
     shares[WORDS:END] = -np.log10(tokens + words + 1)
 
-    resolved = checkpointed(counted.where("shard < 0").unionByName(answers.where("batch is not null")).groupBy("batch").applyInArrow(_resolve(vocabulary), RESOLVED))
-    model = LogBilinear(unigram / unigram.sum())
-    for k, row in enumerate(resolved.orderBy("batch").limit(PILOT).toLocalIterator()):
-        model.learn(*_training(row.asDict()), rate, -k % 997)
-    names = [f"x{k}" for k in range(WIDTH)]
-    mixed = resolved.mapInArrow(_trainer(model, rate / 2), "k int, n long, " + ", ".join(f"{x} double" for x in names)).groupBy("k").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in names)).toPandas()
-    if len(mixed):
-        mixed = mixed.sort_values("k")
-        flat, begin = mixed[names].to_numpy() / mixed[["n"]].to_numpy(), 0
-        for k, x in enumerate(model.p):
-            model.p[k] = flat[begin : begin + len(x), : x.shape[1]].astype(np.float32)
-            begin += len(x)
+    none = lambda kind: F.lit(None).cast(kind)
+    own = counted.where("place < 0").select("batch", "place", none("long").alias("total"), none("long").alias("pick"), "load")
+    parts = own.unionByName(answers.where("batch is not null").select("batch", "place", "total", "pick", none("binary").alias("load")))
+    resolved, _ = stored(parts.repartition(lots(BATCH_BYTES), "batch").groupBy("batch").applyInArrow(_resolve(vocabulary), RESOLVED))
+    forget(docs.sparkSession, counted_path)
+    forget(docs.sparkSession, answers_path)
+    blocks = max(1, -(-total // block_bytes))
+    dealt = resolved.where(~F.col("held_out")).select("row_id", "mark", "symbols").dropDuplicates(["row_id", "mark"]).withColumn("block", F.pmod(F.xxhash64("row_id", "mark"), F.lit(blocks)))
+    dealt = checkpointed(dealt.repartition(blocks, "block").sortWithinPartitions("block", F.xxhash64("mark", "row_id"), "mark", "row_id"))
+    model = trained(LogBilinear(unigram / unigram.sum()), dealt, rounds, rate)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out_schema = "row_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = resolved.mapInArrow(_scorer(model.tables(), shares, 0.0, n, v, ends), out_schema)
+    scored = resolved.mapInArrow(_scorer(model.tables(), shares, n, v, ends), out_schema)
     return scored.select(F.when(F.col("row_id") != lowest, F.col("row_id")).cast(kind).alias("doc_id"), *scored.columns[1:])
