@@ -9,12 +9,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, joined
 
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Host words that mark a labelled URL as unwanted besides its document's labels: distant supervision, a parameter of `labelled`.
-SEEDS = ("spam", "casino", "pills", "bets", "adult", "ads")
 SUPPORT, LEAST, CONFIDENCE = 0.001, 10, 0.8
 LABELLED = 200_000
 #: Rows of the index that go out in one broadcast, a few MB.
@@ -59,16 +57,15 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(given, lambda t: ~t.rlike(r":\d*$")))
 
 
-def labelled(pages: DataFrame, labels: DataFrame, seeds=SEEDS, rows: int = LABELLED) -> DataFrame:
+def labelled(pages: DataFrame, labels: DataFrame, rows: int = LABELLED) -> DataFrame:
     """url, unwanted: the first ``rows`` labelled URLs by a hash. A page carries the number of its document at the end of its path.
 
-    Unwanted: its document is labelled toxic or of low quality, or its host has one of the ``seeds`` among its words.
+    Unwanted: its document is labelled toxic or of low quality. Labels are all that rules are learned from.
     """
     number = F.expr("try_cast(regexp_extract(quire_path, '/([0-9]+)/?(?:[.][A-Za-z0-9]+)?$', 1) as bigint)")
     keyed = pages.select("url").where("url is not null").withColumn("quire_path", path_of(F.col("url"))).select("url", number.alias("doc_id")).where("doc_id is not null")
     bad = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.lit(False)).cast("int")).alias("bad"))
-    seeded = F.arrays_overlap(F.flatten(F.transform(F.split(host_of(F.col("url")), r"\."), lambda x: F.split(x, r"[-_]+"))), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
-    return keyed.join(bad, "doc_id").orderBy(F.xxhash64("url"), "url").limit(rows).select("url", ((F.col("bad") == 1) | seeded).alias("unwanted"))
+    return keyed.join(bad, "doc_id").orderBy(F.xxhash64("url"), "url", "bad").limit(rows).select("url", (F.col("bad") == 1).alias("unwanted"))
 
 
 def mined(labelled_urls: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE) -> DataFrame:
@@ -94,20 +91,23 @@ def mined(labelled_urls: DataFrame, support: float = SUPPORT, least: int = LEAST
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule of every row of ``pages``.
 
+    Rules are mined from labels alone; where those say nothing about URLs, none is, and the given rules alone decide.
     A given rule decides where one fits; of several the longest. Otherwise the
     page is blocked when all tokens of a mined rule are among its URL's tokens: an
     inverted index from token to rules, and a rule fires when as many tokens
     matched as it has. mined_rule is the surest of those, of equally sure ones the shortest, null where none fires. Matching is by distinct sets of tokens, so hosts that fill the
     table are matched once; the index goes out in blocks of ``block`` rows. Null URLs and those without ``://`` have an empty host and path and are
-    allowed unless a given rule says otherwise. Repeated rows are judged one by one. Without labels no rules are mined.
+    allowed unless a given rule says otherwise. Repeated rows are judged one by one, URLs of any length whole. Without labels no rules are mined; without
+    pages the result is empty. Other columns are not read.
     """
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("rule", rule).withColumn("given", verdict).withColumn("tokens", F.sort_array(tokens(F.col("url"))))
-    train = labelled(pages, labels, how.pop("seeds", SEEDS), how.pop("rows", LABELLED))
+    urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = checkpointed(urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("given"), F.when(verdict.isNull(), F.sort_array(tokens(F.col("url")))).alias("tokens")))
+    train = labelled(pages, labels, how.pop("rows", LABELLED))
     block = how.pop("block", BLOCK)
     index = checkpointed(mined(train, **how).select("rule", "confidence", F.size("items").alias("need"), F.explode("items").alias("token")))
     blocks = max(1, -(-index.count() // block))
-    sets = urls.where("given is null").select("tokens").distinct()
+    sets = checkpointed(urls.where("given is null").groupBy("tokens").agg(F.count("*").alias("rows")))
     fired = None
     for k in range(blocks):
         part = index.where(F.pmod(F.xxhash64("rule"), F.lit(blocks)) == k)
@@ -115,6 +115,8 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame
         some = hits.groupBy("tokens", "rule", "confidence", "need").agg(F.count("*").alias("got")).where("got = need").select("tokens", "rule", "confidence", "need")
         fired = some if fired is None else fired.unionByName(some)
     fired = fired.groupBy("tokens").agg(F.min_by("rule", F.struct(-F.col("confidence"), "need", "rule")).alias("mined_rule"))
-    out = urls.join(fired, "tokens", "left")
+    judged_sets = checkpointed(sets.join(fired, "tokens", "left"))
+    plain = F.lit(None).cast("string").alias("mined_rule")
+    out = joined(urls.where("given is null"), judged_sets, "tokens", "rows", judged_sets.agg(F.sum("rows")).first()[0] or 0).drop("rows").unionByName(urls.where("given is not null").select("*", plain))
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), F.when(F.col("given").isNull(), F.col("mined_rule")).alias("mined_rule"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "mined_rule")
