@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free
 from .textops import U, chunks, gram_hashes, hasher, spans
 
 TILE, COVERAGE = 3, 0.8
@@ -125,7 +125,7 @@ class Index:
                 yield d, k, tiles, share
 
 
-def _pairs(index: Index, coverage: float, flag: bool):
+def _pairs(index: Index, coverage: float, flag: str | None = None):
     def run(batches):
         for batch in batches:
             rows, best = [], {}
@@ -138,7 +138,7 @@ def _pairs(index: Index, coverage: float, flag: bool):
             if flag:
                 bad = np.zeros(batch.num_rows, bool)
                 bad[[r for r, _ in best]] = True
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad)], [*batch.schema.names, "contaminated"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bad)], [*batch.schema.names, flag])
                 continue
             at = [r for r, _ in best]
             rows = [sorted(t) for _, t in best.values()]
@@ -176,13 +176,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
     tiles may stand anywhere and in any order, so reordered passages count. The
     items are matched in blocks of bounded size, each sent to all tasks; documents
     are never shuffled. Null and empty texts match nothing; items with a null
-    id are left out; repeated items count once, repeated documents once for each row.
+    id are left out; repeated items count once, repeated documents once for each row. Of an item_id's several texts the
+    best covered one is reported, of equally covered ones the first by its block and text. Texts of any length are taken whole.
+    An empty table on either side gives an empty result; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + PAIRS.format(item=benchmark.schema["item_id"].dataType.simpleString())
     out = None
     for n, index in _blocks(benchmark, block_bytes):
-        part = docs.select("doc_id", "text").mapInArrow(_pairs(index, coverage, False), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_pairs(index, coverage), schema)
         part = checkpointed(part) if n > 1 else part
         out = part if out is None else out.unionByName(part)
     return out
@@ -191,7 +193,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item by the rule of `contaminated_pairs`, all columns kept."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    flag = free(docs, "contaminated")
     for n, index in _blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(_pairs(index, coverage, True), fields + ", contaminated boolean").where("not contaminated").drop("contaminated")
+        docs = docs.mapInArrow(_pairs(index, coverage, flag), f"{fields}, {flag} boolean").where(~F.col(flag)).drop(flag)
         docs = checkpointed(docs) if n > 1 else docs
     return docs

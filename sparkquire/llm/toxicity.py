@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, checkpointed, fold, labelled_docs
+from .common import bounded_labels, checkpointed, fold, free, labelled_docs
 from .textops import BASE, U, chunks, hasher, spans
 
 BITS = 20
@@ -75,15 +75,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
 
     Learns from at most ``rows`` labelled documents outside the held-out fold,
     picked by a hash of their ids: the one bound, which keeps the model and its
-    training on the driver small. Without labels every weight is 0.
+    training on the driver small. Without a labelled document nothing is known to be toxic: the bias alone is left, at its least.
     """
     pairs = bounded_labels(labels, column, rows)
+    none = np.array([1 << BITS]), np.array([-35.0])
     if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return none
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = checkpointed(labelled_docs(docs, pairs).mapInArrow(_features, f"doc_id {kind}, label int, features binary"))
     cases = sorted((r.doc_id, int(r.label > 0), bytes(r.features)) for r in found.toLocalIterator())
     cases = [(np.frombuffer(f, np.int32), y) for _, y, f in cases]
+    if not cases:
+        return none
     model, order = FTRL((1 << BITS) + 1), np.random.default_rng(7)
     for _ in range(epochs):
         for k in order.permutation(len(cases)):
@@ -93,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = S
     return at, w[at]
 
 
-def _scorer(at: np.ndarray, weights: np.ndarray):
+def _scorer(at: np.ndarray, weights: np.ndarray, name: str):
+    """All columns and the text's score."""
+
     def run(batches):
         w = np.zeros((1 << BITS) + 1, np.float32)
         w[at] = weights
@@ -107,28 +112,28 @@ def _scorer(at: np.ndarray, weights: np.ndarray):
                 keys = np.unique(np.concatenate(found))
                 total[a:b] += np.bincount(keys >> BITS, w[keys & ((1 << BITS) - 1)].astype(float), b - a)
             score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            rest = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(score)], [*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep_text: bool = False, rows: int = SAMPLE) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, rows: int, name: str, texts: DataFrame) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(_scorer(*fit(texts, labels, rows=rows), name), f"{fields}, {name} double")
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``, from its whole text.
 
     Null texts count as empty and empty texts score the model's prior. Repeated
-    rows are scored one by one. Further columns of ``docs`` are not read, or
-    with ``keep_text`` stay behind the scores (``score``, ``predicted`` and
-    ``held_out`` then replace columns of the same name).
+    rows are scored one by one; a null doc_id counts as empty text in the fold. Texts of any length are
+    taken whole. An empty table gives an empty result, without labels all score next to 0. Further columns of ``docs`` are not read.
     """
-    run = _scorer(*fit(docs, labels, rows=rows))
-    if keep_text:
-        held = docs.drop("score", "predicted", "held_out").withColumn("quire_text", F.col("text"))
-        inner = held.withColumnRenamed("text", "quire_kept").withColumnRenamed("quire_text", "text")
-        kept = [f for f in inner.schema.fields if f.name != "text"]
-        out = inner.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", score double").withColumnRenamed("quire_kept", "text")
-    else:
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    rest = [c for c in out.columns if c != "score"]
-    return out.select(*rest, (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = _scored(docs.select("doc_id", "text"), labels, rows, "score", docs)
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def non_toxic(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that `toxicity_scores` does not predict as toxic, all columns as they are, whatever their names."""
+    name = free(docs, "score")
+    return _scored(docs, labels, rows, name, docs).where(F.col(name) < 0.5).drop(name)
