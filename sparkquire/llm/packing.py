@@ -2,7 +2,8 @@
 
 The plan needs only how many pieces have each length, at most ``capacity``
 numbers whatever the corpus; each piece then finds its place from its rank
-among the pieces of its length.
+among the pieces of its length: its number among those of its task, which is
+counted where the piece is made, after those of the tasks before.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, joined
 
 CAPACITY = 2048
 _made: dict = {}
@@ -128,8 +130,9 @@ def plan(counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _pieces(tokens: Tokens, capacity: int, keep_ids: bool):
     def run(batches):
+        seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(7)]
             for at, text in enumerate(batch.column("text")):
                 ids = np.append(tokens.ids(text.as_py() or ""), np.uint32(0)).astype("<u4")
                 n = -(-len(ids) // capacity)
@@ -137,13 +140,14 @@ def _pieces(tokens: Tokens, capacity: int, keep_ids: bool):
                 for piece in range(n):
                     end = len(ids) - capacity * (n - piece - 1)
                     part = ids[start:end]
-                    for to, x in zip(rows, (at, piece, start, end - start, zlib.crc32(part.tobytes()), part if keep_ids else None)):
+                    for to, x in zip(rows, (at, piece, start, end - start, zlib.crc32(part.tobytes()), seen[end - start], part if keep_ids else None)):
                         to.append(x)
+                    seen[end - start] += 1
                     start = end
-            out = [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:5])]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            out = [batch.column("doc_id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:6]), pa.array(np.full(len(rows[0]), task))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "within", "task"]
             if keep_ids:
-                out, names = [*out, pa.array([r.astype(np.int32) for r in rows[5]], pa.list_(pa.int32()))], [*names, "ids"]
+                out, names = [*out, pa.array([r.astype(np.int32) for r in rows[6]], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return run
@@ -169,22 +173,20 @@ def packed(docs: DataFrame, tokens: Tokens | None = None, capacity: int = CAPACI
 
     A document is its text's token ids (null text: empty) and then id 0. One of more than
     ``capacity`` ids is cut into pieces of ``capacity``, of which the first may be shorter. Rows
-    that repeat a doc_id, null ones too, are documents of their own. An empty
-    table gives an empty result. Other columns are not read.
+    that repeat a doc_id, null ones too, are documents of their own, whichever of equal pieces comes first. Texts of any length are
+    taken whole. An empty table gives an empty result. Other columns are not read.
     """
     tokens = tokens or public_tokens()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    pieces = checkpointed(docs.select("doc_id", "text").mapInArrow(_pieces(tokens, capacity, keep_ids), schema))
-    groups = max(64, pieces.count() // 1000)
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    sizes = checkpointed(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
+    more = ", ids array<int>" if keep_ids else ""
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+    pieces = checkpointed(docs.select("doc_id", "text").mapInArrow(_pieces(tokens, capacity, keep_ids), f"{schema}, within long, task long{more}"))
+    sizes = checkpointed(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))
     counts = np.zeros(capacity + 1, np.int64)
     for row in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row.length] = row.n
     slots, _ = plan(counts)
-    begin = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
-    own = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    ranked = pieces.join(begin, ["length", "part"]).withColumn("rank", F.row_number().over(own) - 1 + F.col("before"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
+    ranked = joined(pieces, before, ["length", "task"], "n", int(counts.sum())).withColumn("rank", F.col("within") + F.col("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    return ranked.select(*names, "rank").mapInArrow(_places(slots), f"{schema}, sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(_places(slots), f"{schema}{more}, sequence_id long, offset long")
