@@ -11,21 +11,29 @@ from .common import bounded_labels, checkpointed, fold, labelled_docs
 from .textops import chunks
 
 SAMPLE = 6000
+#: Bytes of labelled text that the driver trains on, at most.
+SAMPLE_BYTES = 64 << 20
 PIECE, HOP = 256, 192
 WIDTH, STRIDE, FILTERS, HIDDEN = 8, 2, 24, 16
 PAD = 256
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping pieces of PIECE bytes every HOP bytes that cover each document to its end, padded with PAD, and each piece's document."""
-    size = np.diff(offs)
-    n = np.maximum(1, -(-(size - (PIECE - HOP)) // HOP))
-    doc = np.repeat(np.arange(len(size)), n)
-    begin = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * HOP
-    padded = np.concatenate([data.astype(np.uint16), np.full(PIECE, PAD, np.uint16)])
-    out = np.lib.stride_tricks.sliding_window_view(padded, PIECE)[offs[:-1][doc] + begin]
-    out[np.arange(PIECE) >= (size[doc] - begin)[:, None]] = PAD
-    return out, doc
+def places(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, begin in it) of overlapping pieces of PIECE bytes every HOP bytes that cover each document to its end."""
+    n = np.maximum(1, -(-(np.diff(offs) - (PIECE - HOP)) // HOP))
+    doc = np.repeat(np.arange(len(n)), n)
+    return doc, (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * HOP
+
+
+def pieces(data: np.ndarray, offs: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The bytes of some of these pieces, padded with PAD."""
+    at, size = offs[:-1][doc] + begin, np.diff(offs)[doc] - begin
+    low, high = (int(at.min()), int(at.max()) + PIECE) if len(at) else (0, 0)
+    part = data[low:high].astype(np.uint16)
+    padded = np.concatenate([part, np.full(high - low - len(part), PAD, np.uint16)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, PIECE)[at - low] if len(at) else np.zeros((0, PIECE), np.uint16)
+    out[np.arange(PIECE) >= size[:, None]] = PAD
+    return out
 
 
 class Net:
@@ -73,8 +81,11 @@ class Net:
         if self._pairs is None:
             t = self.p["taps"]
             self._pairs = [(t[k][:, None] + t[k + 1][None]).reshape(-1, FILTERS) for k in range(0, WIDTH, 2)]
-        x, doc = pieces(data, offs)
-        h = np.maximum(self.highest(x, True)[0] + self.p["bias"], 0)
+        doc, begin = places(offs)
+        h = np.empty((len(doc), FILTERS), np.float32)
+        for a in range(0, len(doc), 4096):
+            part = slice(a, a + 4096)
+            h[part] = np.maximum(self.highest(pieces(data, offs, doc[part], begin[part]), True)[0] + self.p["bias"], 0)
         return self.top(h, np.searchsorted(doc, np.arange(len(offs) - 1)))[2]
 
     def gradients(self, x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -115,7 +126,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
             order += random.permutation(len(texts)).tolist()
         at, order = order[:batch], order[batch:]
         data = np.frombuffer(b"".join(texts[k] for k in at), np.uint8)
-        x, doc = pieces(data, np.append(0, np.cumsum([len(texts[k]) for k in at])))
+        offs = np.append(0, np.cumsum([len(texts[k]) for k in at]))
+        doc, begin = places(offs)
+        x = pieces(data, offs, doc, begin)
         g = net.gradients(x, np.searchsorted(doc, np.arange(len(at))), labels[at].astype(np.float32))
         step += 1
         now = rate * min(1.0, 2.0 * (1 - (step - 1) / steps))
@@ -126,10 +139,20 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int =
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = SAMPLE) -> Net | None:
-    """The network, trained on the driver on at most ``rows`` labelled whole texts outside the held-out fold; None without labels."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = SAMPLE, size: int = SAMPLE_BYTES) -> Net | None:
+    """The network, trained on the driver on at most ``rows`` labelled whole texts outside the held-out fold, of at most ``size`` bytes in all; None without labels.
+
+    Texts are taken whole, by a hash of doc_id, those left out that would exceed ``size``.
+    """
     pairs = bounded_labels(labels, column, rows)
-    got = sorted((r.doc_id, r.label > 0, r.text.encode()) for r in checkpointed(labelled_docs(docs, pairs)).toLocalIterator()) if pairs else []
+    texts = checkpointed(labelled_docs(docs, pairs)) if pairs else None
+    sizes, total, picked = ({r.doc_id: r.n for r in texts.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()} if pairs else {}), 0, []
+    for doc, _ in pairs:
+        if doc in sizes and total + sizes[doc] <= size:
+            total += sizes[doc]
+            picked.append((doc,))
+    keys = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}") if picked else None
+    got = sorted((r.doc_id, r.label > 0, r.text.encode()) for r in texts.join(F.broadcast(keys), "doc_id", "left_semi").toLocalIterator()) if picked else []
     return train([t for _, _, t in got], np.array([y for _, y, _ in got])) if got else None
 
 
@@ -148,8 +171,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, r
     """doc_id, held_out, score, predicted of every row of ``docs``, from all bytes of its text.
 
     Null texts count as empty and empty texts are scored as one piece of padding.
-    Without labels every score is 0.5. Repeated rows are scored one by one; other
-    columns are not read. The sample's bound ``rows`` keeps training on the driver small.
+    Without labels every score is 0.5. Repeated rows are scored one by one, texts of any length whole; a null doc_id counts as empty text in the fold. An empty
+    table gives an empty result; other columns are not read. The sample's bounds, ``rows`` and SAMPLE_BYTES, keep training on the driver small.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(_scorer(fit(docs, labels, rows=rows)), f"doc_id {kind}, score double")
