@@ -2,12 +2,14 @@
 
 The grammar covers pages with and without sectioning elements, unclosed
 paragraphs, headings, lists, quotes and tables inside articles, and around and inside them menus,
-headers, footers, sidebars, notices, adverts, forms, scripts and reader comments.
+headers, footers, sidebars, notices, adverts, forms, scripts and reader comments. Besides pages mixed from
+all of these there are templates that share no frame with each other: news, blog, table layout, manual and bare pages.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 #: Class and id names that page authors commonly use for each part.
 NAMES = {
@@ -25,12 +27,19 @@ NAMES = {
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ment tion eau que ch un der sch ung keit ción ado mente é ü ñ zu pa la".split()
 
 
+#: Scripts of the words, so that no word itself says anything.
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшя", "αβγδεζηθικλμνξοπρστυφχψω", "日本語中文字学校時間人大小山川田水火木金土")
+
+
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.main: set[str] = set()
+        self.letters = self.r.choice(("", "", *LETTERS))
 
     def word(self) -> str:
+        if self.letters:
+            return "".join(self.r.choice(self.letters) for _ in range(self.r.randint(1, 9)))
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 4)))
 
     def words(self, low: int, high: int, end: str = "") -> str:
@@ -119,21 +128,85 @@ class Maker:
             name = f' class="{r.choice(NAMES[part])}"'
         return f"<{tag}{name}>{body}</{tag}>"
 
-    def page(self) -> str:
+    def menu(self, low: int, high: int) -> str:
+        """Links in a row or a list, with any separator."""
+        r, links = self.r, [f'<a href="{self.word()}.html">{self.words(1, 3)}</a>' for _ in range(self.r.randint(low, high))]
+        gap = r.choice((" | ", " &gt; ", " - ", " ", "&nbsp;&nbsp;", ""))
+        return r.choice((gap.join(links), "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", "".join(f"<div>{x}</div>" for x in links), "<br>".join(links)))
+
+    def prose(self, low: int, high: int) -> list[str]:
+        """Main blocks: paragraphs, and now and then a heading, list, quote or code."""
+        r, out = self.r, []
+        for _ in range(r.randint(low, high)):
+            k = r.random()
+            if k < 0.1:
+                out.append(f"<h{r.randint(2, 4)}>{self.mark(self.words(1, 7))}</h{r.randint(2, 4)}>")
+            elif k < 0.16:
+                out.append(f"<{(t := r.choice(('ul', 'ol')))}>" + "".join(f"<li>{self.mark(self.words(1, 14, r.choice(('', '.'))))}" for _ in range(r.randint(2, 6))) + f"</{t}>")
+            elif k < 0.2:
+                out.append(f"<blockquote>{self.mark(self.sentences(1, 2))}</blockquote>")
+            elif k < 0.23:
+                out.append(f"<pre>{self.mark(self.words(3, 12))}</pre>")
+            else:
+                out.append(self.paragraph())
+        return out
+
+    def news(self) -> str:
+        r, w = self.r, self.words
+        rail = f'<div class="{r.choice(("right", "col-right", "rail", "column2"))}"><h4>{w(1, 3)}</h4>{self.menu(3, 8)}' + (f"<h4>{w(1, 2)}</h4><p>{w(3, 14)}</p>" if r.random() < 0.5 else "") + "</div>"
+        story = self.prose(3, 14)
+        if r.random() < 0.4:
+            story.insert(r.randint(1, len(story)), f'<div class="{r.choice(("inset", "promo-box", "related-links"))}"><h5>{w(1, 3)}</h5>{self.menu(2, 4)}</div>')
+        talk = f'<div id="talk"><h3>{w(1, 2)} ({r.randint(1, 90)})</h3>' + "".join(f'<div class="{r.choice(("comment", "entry-c", "comment-body"))}"><b>{w(1, 2)}</b> <i>{r.randint(1, 23)}:{r.randint(10, 59)}</i><p>{self.sentences(1, 3)}</p></div>' for _ in range(r.randint(1, 6))) + "</div>" if r.random() < 0.5 else ""
+        return f'<div id="top">{w(1, 3)} {self.menu(4, 9)}</div><div class="wrap"><div class="{r.choice(("story", "left", "text", "artikel", "copy"))}"><h1 class="headline">{self.mark(w(2, 11))}</h1>{"".join(story)}</div>{rail}</div>{talk}<div id="bottom"><p>&copy; {r.randint(1990, 2030)} {w(1, 4)}</p>{self.menu(2, 5)}</div>'
+
+    def blog(self) -> str:
+        r, w = self.r, self.words
+        side = "".join(f'<div class="{r.choice(("box", "block", "module", "widget"))}"><h3>{w(1, 3)}</h3>{r.choice((self.menu(3, 9), f"<p>{w(5, 25, chr(46))}</p>"))}</div>' for _ in range(r.randint(1, 4)))
+        talk = f'<ol class="{r.choice(("commentlist", "replies", "thread"))}">' + "".join(f"<li><cite>{w(1, 2)}</cite><p>{self.sentences(1, 4)}</p></li>" for _ in range(r.randint(1, 5))) + f"</ol><form action=x><p>{w(2, 8)}</p><textarea>x</textarea><input type=submit></form>" if r.random() < 0.6 else ""
+        title = f"<h2><a href=/>{self.mark(w(2, 9))}</a></h2>" if r.random() < 0.5 else f"<h2>{self.mark(w(2, 9))}</h2>"
+        return f'<div id="head"><h1><a href="/">{w(1, 4)}</a></h1><span>{w(2, 8)}</span></div><div id="bar">{self.menu(2, 6)}</div><div id="content"><div class="post">{title}{"".join(self.prose(2, 10))}</div>{talk}</div><div id="side">{side}</div><div id="foot">{w(2, 10)} <a href=x>{w(1, 2)}</a></div>'
+
+    def layout(self) -> str:
+        r, w = self.r, self.words
+        head = f"<tr><td colspan=2><font size=5>{w(1, 4)}</font></td></tr><tr><td colspan=2>{self.menu(3, 8)}</td></tr>"
+        left = f"<td width={r.randint(100, 200)} valign=top>{r.choice((f'<b>{w(1, 2)}</b><br>', ''))}{self.menu(4, 12)}</td>"
+        return f'<table width="100%" border=0>{head}<tr>{left}<td><h{(n := r.randint(1, 3))}>{self.mark(w(1, 9))}</h{n}>{"".join(self.prose(3, 12))}</td></tr><tr><td colspan=2 align=center><small>{w(2, 9)} &copy; {w(1, 2)}</small></td></tr></table>'
+
+    def manual(self) -> str:
+        r, w = self.r, self.words
+        note = f'<div role="alert">{w(4, 14)} <a href=x>{w(1, 2)}</a></div>' if r.random() < 0.4 else ""
+        return f'{note}<header role="banner"><a href="/">{w(1, 2)}</a><form role="search"><input><button>{w(1, 1)}</button></form></header><div class="grid"><nav class="toc"><p>{w(1, 2)}</p>{self.menu(5, 15)}</nav><main role="main"><h1>{self.mark(w(1, 6))}</h1>{"".join(self.prose(4, 16))}</main><aside class="on-this-page"><p>{w(2, 4)}</p>{self.menu(2, 7)}</aside></div><footer role="contentinfo"><p>{w(3, 12)}</p>{self.menu(1, 4)}</footer>'
+
+    def bare(self) -> str:
+        r, w = self.r, self.words
+        top = f"<p>{self.menu(2, 6)}</p><hr>" if r.random() < 0.7 else ""
+        end = f"<hr><p>{r.choice(('&copy; ', 'Copyright ', ''))}{w(1, 5)} {r.randint(1995, 2030)}</p>" if r.random() < 0.6 else ""
+        return f'{top}<h1>{self.mark(w(1, 9))}</h1>{"".join(self.prose(3, 14))}{end}{self.menu(2, 5) if r.random() < 0.4 else ""}'
+
+    def mixed(self) -> str:
         r = self.r
         some = lambda parts, p: "".join(self.other(x) for x in parts if r.random() < p)
         before = some(("notice",), 0.15) + some(("header",), 0.35) + some(("nav",), 0.8) + some(("ad",), 0.5) + some(("form", "nav", "notice"), 0.12)
         after = some(("share", "aside"), 0.2) + some(("comments",), 0.3) + some(("aside", "ad", "form", "notice"), 0.2) + some(("footer",), 0.85)
         body = before + f"<!-- {self.words(1, 3)} -->" + self.article() + after
-        if r.random() < 0.2:
-            body = f'<div id="{r.choice(("wrapper", "page", "container", "site"))}">{body}</div>'
+        return f'<div id="{r.choice(("wrapper", "page", "container", "site"))}">{body}</div>' if r.random() < 0.2 else body
+
+    def page(self, template: str) -> str:
+        """A page; on one in four all class and id names mean nothing."""
+        body = getattr(self, template)()
+        if self.r.random() < 0.25:
+            body = re.sub(r'(class|id|role)="[^"]*"', lambda m: f'{m[1]}="{self.r.choice("abcdefgh")}{self.r.randint(1, 99)}"', body)
         return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><style>p{{}}</style><script>var t="</p>";</script></head><body>{body}</body></html>'
 
 
-def labelled_pages(n: int, seed: int = 20) -> list[tuple[str, set[str]]]:
-    """``n`` pages and, for each, the texts of its main blocks; texts of other parts are never among them."""
+TEMPLATES = ("mixed", "news", "mixed", "blog", "mixed", "layout", "mixed", "manual", "mixed", "bare")
+
+
+def labelled_pages(n: int, seed: int = 20, templates: tuple[str, ...] = TEMPLATES) -> list[tuple[str, set[str]]]:
+    """``n`` pages, by the templates in turn, and for each the texts of its main blocks; texts of other parts are never among them."""
     out = []
     for k in range(n):
         maker = Maker(seed * 1_000_003 + k)
-        out.append((maker.page(), maker.main))
+        out.append((maker.page(templates[k % len(templates)]), maker.main))
     return out
