@@ -149,7 +149,9 @@ def test_scores(spark, docs, none, labels):
         assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
         assert f(none, labels).count() == 0 and f(docs, labels.limit(0)).count() == len(TEXTS)
-    assert toxicity.toxicity_scores(docs, labels, keep_text=True).select("text").distinct().count() == len({t for _, t in TEXTS})
+    scores = toxicity.toxicity_scores(docs, labels)
+    clean = toxicity.non_toxic(docs, labels)
+    assert clean.columns == docs.columns and {r.score for r in clean.collect()} <= {0.5} and clean.count() == scores.where("predicted = 0").count()
 
 
 @pytest.mark.parametrize(("f", "column", "least"), [(toxicity.toxicity_scores, "toxic", 0.97), (quality_cnn.quality_scores, "quality", 0.95)])
@@ -222,11 +224,13 @@ def test_urls(spark):
         ("x://notexample.com/de/", "notexample.com", "/de/", None, "allow"), ("x://b.org/fr/x", "b.org", "/fr/x", "org/fr/", "allow"), ("x://net", "net", "", None, "allow"), ("nothing", "", "", None, "allow"), (None, "", "", None, "allow"),
     ]
     pages = spark.createDataFrame([(k, c[0], "h", "r") for k, c in enumerate(cases)] + [(100 + k, f"http://{'spam-x' if k % 2 else 'fine'}.example.org/en/{k}", "h", "r") for k in range(60)], "page_id long, url string, host string, rule string")
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
     got = {r.page_id: r for r in url_rules.judged(pages, labels).collect()}
     for k, (_, host, path, rule, verdict) in enumerate(cases):
         assert (got[k].host, got[k].path, got[k].rule, got[k].verdict) == (host, path, rule, verdict)
     assert all(got[100 + k].verdict == ("block" if k % 2 else "allow") for k in range(60))
+    silent = url_rules.judged(pages, labels.withColumn("toxic", F.lit(0))).collect()
+    assert all(r.verdict == "allow" and r.mined_rule is None for r in silent if r.page_id >= 100)
     assert url_rules.judged(pages, labels.limit(0)).count() == len(got) and url_rules.judged(pages.limit(0), labels).count() == 0
 
 

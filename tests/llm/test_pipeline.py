@@ -34,3 +34,21 @@ def test_stages(spark):
 
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, and columns whose names the operators use, through every stage."""
+    a = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a + " last"), (3, None), (3, None), (4, ""), (None, a), (5, "short text"), (6, " ".join(f"v{k}" for k in range(50)))]
+    names = "score predicted held_out contaminated spans mark doc n quire_text row".split()
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    spark.createDataFrame([(6, 1, 1), (None, None, None)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, " ".join(f"v{k}" for k in range(10, 40))), (None, a), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"toxicity": 10, "jaccard_join": 7, "suffix_dedup": 7, "decontamination": 6}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [tuple(r)[2:] for r in out.collect()] == [tuple(range(len(names)))] * want[name]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in packed.collect()) == ["1", "3", "3", "4", "5", "None"]
