@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquire.llm.chosen_path import jaccard_groups
+from sparkquire.llm.chosen_path import one_of_each_group
 from sparkquire.llm.common import forget, stored, table
 from sparkquire.llm.decontam import without_contaminated
 from sparkquire.llm.packing import packed
 from sparkquire.llm.suffix_dedup import without_repeats
-from sparkquire.llm.toxicity import toxicity_scores
+from sparkquire.llm.toxicity import non_toxic
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5, all columns kept."""
-    return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep_text=True).where("predicted = 0").select(*docs.columns)
+    return non_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of documents linked by Jaccard similarity: the smallest doc_id. Rows that repeat it go too; null ids stay."""
-    kept = jaccard_groups(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    single = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row for each group of documents linked by Jaccard similarity, the one with the smallest doc_id; rows without words or doc_id stay."""
+    return one_of_each_group(docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again by the next, which then deletes it. Packing keeps its own pieces."""
     docs = table(spark, sf_dir, "documents")
     last = None
     for _, stage in STAGES[:-1]:
@@ -55,4 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last:
             forget(spark, last)
         last = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    forget(spark, last)
+    return out
