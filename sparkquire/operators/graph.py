@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query, read
 from .chunking import basic
 
+#: Words that name nothing by themselves.
 STOP = ("The", "This", "These", "What")
 #: White space and word characters of any script, as Python's re has them; Java looks behind by whole characters where the pattern holds one beyond 16 bits.
 SPACE, LETTER = r"[\s\x{85}\x1c-\x1f\p{Z}]", "[\\p{L}\\p{N}_\U0001d400]"
@@ -103,12 +104,6 @@ def kg_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(e.select(F.lit(1).alias("part"), (F.col("s") * 1000 + F.col("t")).alias("place"), F.concat(F.lit("    "), n("s"), arrow, n("t")).alias("line")))
 
 
-ENTITIES_SQL = """found AS (SELECT doc_id, list_concat(regexp_extract_all(text, '"([^"]+)"', 1), regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b', 0)) AS xs FROM (SELECT doc_id, '"Drug ' || CAST(doc_id % 50 AS VARCHAR) || '" and The Best Of ' || regexp_replace(text, '[^ -~]', '', 'g') AS text FROM documents) s),
-each_ AS (SELECT doc_id, unnest(range(0, len(xs))) AS pos, unnest(xs) AS e FROM found),
-firsts AS (SELECT doc_id, e, pos, row_number() OVER (PARTITION BY doc_id, lower(e) ORDER BY pos) AS k FROM each_ WHERE e NOT IN ('The', 'This', 'These', 'What') OR pos = 0),
-placed AS (SELECT doc_id, e AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM firsts WHERE k = 1)"""
-
-
 def first_entities(docs: DataFrame, limit: int = 5) -> DataFrame:
     """doc_id, place, entity: the first ``limit`` distinct ones of each document; each row sends no more than these."""
     lowered = lambda xs: F.transform(F.array(F.transform(xs, F.lower)), lambda low: F.transform(F.slice(F.array_distinct(low), 1, limit), lambda x: F.struct(F.array_position(low, x).alias("at"), F.get(xs, F.array_position(low, x) - 1).alias("entity"))))
@@ -171,18 +166,18 @@ def _pairs(batches):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's whole text after a phrase with a quoted name. The SQL deletes what is not printable ASCII, the query does not."""
+    """Each document's whole text after a phrase with a quoted name."""
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"Drug '), (F.col("doc_id") % 50).cast("string"), F.lit('" and The Best Of '), F.col("text")).alias("text"))
 
 
-@query(f"WITH {ENTITIES_SQL} SELECT * FROM placed WHERE place <= 5")
+@query()
 def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_entities(_docs(spark, sf_dir))
 
 
-@query(f"WITH {ENTITIES_SQL}, p AS (SELECT * FROM placed WHERE place <= 5) SELECT a.entity AS source, b.entity AS target, count(*) AS weight FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.entity < b.entity GROUP BY ALL HAVING count(*) > 1")
+@query()
 def kg_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between entities that occur together in more than one chunk, over all chunks of the whole texts. The SQL sees each document's first five entities only."""
+    """Edges between entities that occur together in more than one chunk, over all chunks of the whole texts."""
     return cooccurrences(_docs(spark, sf_dir)).where("weight > 1")
 
 
@@ -247,10 +242,11 @@ def _best(rows: pd.DataFrame, k: int):
             mine = batch.vec_id.to_numpy()
             cosine = unit(rows.embedding) @ unit(batch.embedding).T
             cosine[ids[:, None] == mine] = -np.inf
-            for i in range(len(ids)):
-                top = np.lexsort((mine, -cosine[i]))[:k]
-                top = top[np.isfinite(cosine[i, top])]
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": mine[top], "cosine": cosine[i, top]})
+            by = np.argsort(mine, kind="stable")
+            top = by[np.argsort(-cosine[:, by], axis=1, kind="stable")[:, :k]]
+            best = np.take_along_axis(cosine, top, 1)
+            use = np.isfinite(best)
+            yield pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], best.shape)[use], "vec_id": mine[top][use], "cosine": best[use]})
 
     return run
 

@@ -98,10 +98,35 @@ def a2t_delete_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted(_rows(spark, sf_dir), "Brand#2", 3).select("table_id", "idx", "name")
 
 
-@query(f"WITH {ROWS_SQL} SELECT table_id, idx, kind AS old_value, 'any text' AS new_value FROM rows_ WHERE idx = 1")
+CELL_SQL = "asked AS (SELECT table_id, max(idx) AS last, CASE WHEN substring(table_id, 7, 1) = '1' THEN 9999 ELSE 1 END AS idx, CASE WHEN substring(table_id, 7, 1) = '3' THEN 'Colour' ELSE 'Kind' END AS col FROM rows_ GROUP BY table_id)"
+
+
+def cells_updated(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows after, outcomes): each of ``asked`` (table_id, idx, col, value) sets one cell to a text, whatever the column's type; one at most for each cell.
+
+    An outcome is table_id, idx, col, success, error, old_value, new_value; an index out of range and an unknown column change nothing.
+    """
+    names = {name: name.lower() for name, *_ in COLUMNS}
+    last = rows.groupBy("table_id").agg(F.max("idx").alias("last"))
+    old = F.coalesce(*(F.when(F.col("col") == name, F.col(c).cast("string")) for name, c in names.items()))
+    error = (
+        F.when(F.col("last").isNull(), F.concat(F.lit("Table not found: "), "table_id")).when((F.col("idx") < 0) | (F.col("idx") > F.col("last")), F.concat(F.lit("Invalid row index: "), F.col("idx").cast("string")))
+        .when(~F.col("col").isin(*names), F.concat(F.lit("Unknown column: '"), "col", F.lit("'")))
+    )
+    judged = asked.join(last, "table_id", "left").withColumn("error", error).drop("last")
+    done = judged.join(rows, ["table_id", "idx"], "left").select("table_id", "idx", "col", F.col("error").isNull().alias("success"), "error", F.when(F.col("error").isNull(), old).alias("old_value"), F.when(F.col("error").isNull(), F.col("value")).alias("new_value"))
+    new = done.where("success").groupBy("table_id", "idx").agg(*(F.max(F.when(F.col("col") == name, F.col("new_value"))).alias(f"new {c}") for name, c in names.items()))
+    kept = [F.coalesce(F.col(f"new {c}").try_cast(rows.schema[c].dataType), F.col(c)).alias(c) for c in names.values()]
+    return rows.join(new, ["table_id", "idx"], "left").select("table_id", "idx", *kept), done
+
+
+@query(f"WITH {ROWS_SQL}, {CELL_SQL} SELECT a.table_id, a.idx, a.idx <= last AND col = 'Kind' AS success, CASE WHEN a.idx > last THEN 'Invalid row index: 9999' WHEN col <> 'Kind' THEN 'Unknown column: ''Colour''' END AS error, CASE WHEN a.idx <= last AND col = 'Kind' THEN r.kind END AS old_value, CASE WHEN a.idx <= last AND col = 'Kind' THEN 'any text' END AS new_value FROM asked a LEFT JOIN rows_ r ON a.table_id = r.table_id AND a.idx = r.idx")
 def a2t_update_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old and new value of a cell in row 1 of each table; the value is not validated."""
-    return _rows(spark, sf_dir).where("idx = 1").select("table_id", "idx", F.col("kind").alias("old_value"), F.lit("any text").alias("new_value"))
+    """A cell of each table set to a text: some rows are out of range, some columns unknown; the value is not validated."""
+    rows = _rows(spark, sf_dir)
+    digit = F.substring("table_id", 7, 1)
+    asked = rows.select("table_id").distinct().select("table_id", F.when(digit == "1", 9999).otherwise(1).cast("long").alias("idx"), F.when(digit == "3", "Colour").otherwise("Kind").alias("col"), F.lit("any text").alias("value"))
+    return cells_updated(rows, asked)[1].drop("col")
 
 
 @query(f"WITH {ROWS_SQL} SELECT table_id, idx, name FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY idx DESC) AS k FROM rows_) r WHERE k <= 2")
@@ -146,11 +171,17 @@ def a2t_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).groupBy("table_id").agg(wide("name", "Name").alias("name_width"), wide("size", "Size").alias("size_width"))
 
 
-@query(f"WITH {ROWS_SQL} SELECT table_id, 'A' || CAST(idx + 4 AS VARCHAR) AS cell, name AS value, CASE WHEN size > 40 THEN 'high' WHEN size < 10 THEN 'low' ELSE 'body' END AS style FROM rows_")
+STYLE_SQL = "graded AS (SELECT *, CASE WHEN size > 40 THEN 'High' WHEN size < 10 THEN 'low' ELSE 'medium' END AS confidence, table_id LIKE '%2%' AS comparison FROM rows_)"
+
+
+@query(f"WITH {ROWS_SQL}, {STYLE_SQL} SELECT table_id, 'A' || CAST(idx + 4 AS VARCHAR) AS cell, name AS value, 'body' AS style FROM graded UNION ALL SELECT table_id, 'B' || CAST(idx + 4 AS VARCHAR), confidence, CASE WHEN comparison AND lower(confidence) = 'high' THEN 'high' WHEN comparison AND lower(confidence) = 'low' THEN 'low' ELSE 'body' END FROM graded")
 def a2t_style_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells and styles of the first column of each sheet; the header takes row 3."""
-    style = F.when(F.col("size") > 40, "high").when(F.col("size") < 10, "low").otherwise("body")
-    return _rows(spark, sf_dir).select("table_id", F.concat(F.lit("A"), (F.col("idx") + 4).cast("string")).alias("cell"), F.col("name").alias("value"), style.alias("style"))
+    """Cells and styles of the sheets of (Name, Confidence): the header takes row 3; only comparisons colour a column named confidence, high and low in any case."""
+    rows = _rows(spark, sf_dir).withColumn("confidence", F.when(F.col("size") > 40, "High").when(F.col("size") < 10, "low").otherwise("medium"))
+    grade = F.lower("confidence")
+    style = F.when(F.col("table_id").contains("2") & grade.isin("high", "low"), grade).otherwise("body")
+    cell = lambda column, value, how: rows.select("table_id", F.concat(F.lit(column), (F.col("idx") + 4).cast("string")).alias("cell"), F.col(value).alias("value"), how.alias("style"))
+    return cell("A", "name", F.lit("body")).unionByName(cell("B", "confidence", style))
 
 
 @query(f"WITH {ROWS_SQL} SELECT table_id, count(*) AS n_rows, 3 AS n_columns FROM rows_ GROUP BY table_id")
@@ -158,44 +189,68 @@ def a2t_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).groupBy("table_id").agg(F.count("*").alias("n_rows"), F.lit(3).alias("n_columns"))
 
 
-DRAFT_SQL = "ops AS (SELECT user_id AS draft_id, event_id AS op, ts, CASE WHEN event_type = 'view' THEN 'title ' || CAST(event_id AS VARCHAR) END AS title, CASE WHEN event_type = 'click' THEN 'note ' || CAST(event_id AS VARCHAR) END AS notes, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS pending FROM events), drafts AS (SELECT draft_id, max_by(title, op) FILTER (title IS NOT NULL) AS title, max_by(notes, op) FILTER (notes IS NOT NULL) AS notes, CAST(sum(pending) AS BIGINT) AS pending, max(ts) AS updated_at FROM ops GROUP BY draft_id)"
+DRAFT_SQL = """ops AS (SELECT user_id AS draft_id, event_id AS op, ts, CASE WHEN event_type = 'view' THEN 'title ' || CAST(event_id AS VARCHAR) END AS title, CASE WHEN event_type = 'click' THEN 'note ' || CAST(event_id AS VARCHAR) END AS notes,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN '[{"name": "Name", "type": "text"}]' END AS columns, CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'comparison' ELSE 'summary' END END AS intent,
+  CASE WHEN event_type = 'purchase' THEN '{"' || CASE WHEN event_id % 4 = 0 THEN 'Nome' ELSE 'Name' END || '": "' || CAST(event_id AS VARCHAR) || '"}' END AS row FROM events),
+drafts AS (SELECT draft_id, coalesce(max_by(title, op) FILTER (title IS NOT NULL), '') AS title, coalesce(max_by(notes, op) FILTER (notes IS NOT NULL), '') AS notes, coalesce(max_by(columns, op) FILTER (columns IS NOT NULL), '[]') AS columns, max_by(intent, op) FILTER (intent IS NOT NULL) AS intent,
+  '[' || coalesce(string_agg(row, ', ' ORDER BY op) FILTER (row IS NOT NULL), '') || ']' AS rows, count(row) AS pending, count(*) FILTER (row LIKE '{"Name%') AS good, max(ts) AS updated_at FROM ops GROUP BY draft_id),
+sized AS (SELECT *, length('{"title": "' || title || '", "columns": ' || columns || ', "plan": [], "pending": ' || rows || ', "notes": "' || notes || '"}') // 4 AS tokens FROM drafts)"""
 
 
 def drafts(ops: DataFrame) -> DataFrame:
-    """draft_id with each field's latest value that was set, pending rows and the last change: updates name some fields, the others stay."""
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("op"))).alias(c)
-    return ops.groupBy("draft_id").agg(last("title"), last("notes"), F.sum("pending").alias("pending"), F.max("ts").alias("updated_at"))
+    """draft_id, title, notes, columns, intent, rows, pending, good, updated_at: each field's latest value that was set, and all rows in order.
+
+    An operation sets some fields and leaves the others null; ``columns`` and ``row`` are JSON with ', ' and ': '. ``good`` counts the rows that name the draft's one column.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("op")))
+    rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("row").isNotNull(), F.struct("op", "row")))), lambda x: x.row)
+    good = F.count_if(F.array_contains(F.json_object_keys("row"), "Name"))
+    return ops.groupBy("draft_id").agg(
+        F.coalesce(last("title"), F.lit("")).alias("title"), F.coalesce(last("notes"), F.lit("")).alias("notes"), F.coalesce(last("columns"), F.lit("[]")).alias("columns"), last("intent").alias("intent"),
+        F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]")).alias("rows"), F.count("row").alias("pending"), good.alias("good"), F.max("ts").alias("updated_at"),
+    )
+
+
+def draft_size(title: Column, columns: Column, plan: Column, rows: Column, notes: Column) -> Column:
+    """A quarter of the characters of a draft's JSON; columns, plan and rows are JSON already."""
+    return F.floor(F.length(F.concat(F.lit('{"title": '), json_string(title), F.lit(', "columns": '), columns, F.lit(', "plan": '), plan, F.lit(', "pending": '), rows, F.lit(', "notes": '), json_string(notes), F.lit("}"))) / 4)
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, text = read(spark, sf_dir, "events"), lambda kind, word: F.when(F.col("event_type") == kind, F.concat(F.lit(word + " "), F.col("event_id").cast("string")))
-    return drafts(e.select(F.col("user_id").alias("draft_id"), F.col("event_id").alias("op"), "ts", text("view", "title").alias("title"), text("click", "note").alias("notes"), F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("pending")))
+    e, kind, k = read(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id")
+    word = lambda event, text: F.when(kind == event, F.concat(F.lit(text + " "), k.cast("string")))
+    row = F.concat(F.lit('{"'), F.when(k % 4 == 0, "Nome").otherwise("Name"), F.lit('": "'), k.cast("string"), F.lit('"}'))
+    return drafts(e.select(
+        F.col("user_id").alias("draft_id"), k.alias("op"), "ts", word("view", "title").alias("title"), word("click", "note").alias("notes"), F.when((kind == "error") & (k % 3 == 0), '[{"name": "Name", "type": "text"}]').alias("columns"),
+        F.when(kind == "signup", F.when(k % 2 == 0, "comparison").otherwise("summary")).alias("intent"), F.when(kind == "purchase", row).alias("row"),
+    ))
 
 
-@query(f"WITH {DRAFT_SQL} SELECT draft_id, title, notes, updated_at FROM drafts")
+@query(f"WITH {DRAFT_SQL} SELECT draft_id, title, notes, columns, intent, updated_at FROM drafts")
 def drafts_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir).select("draft_id", "title", "notes", "updated_at")
+    return _drafts(spark, sf_dir).select("draft_id", "title", "notes", "columns", "intent", "updated_at")
 
 
-@query(f"WITH {DRAFT_SQL} SELECT draft_id, title, pending FROM drafts")
+@query(f"WITH {DRAFT_SQL} SELECT draft_id, title, intent, CASE WHEN columns = '[]' THEN 0 ELSE 1 END AS columns_planned, pending FROM drafts")
 def drafts_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir).select("draft_id", "title", "pending")
+    return _drafts(spark, sf_dir).select("draft_id", "title", "intent", F.json_array_length("columns").alias("columns_planned"), "pending")
 
 
-@query(f"WITH {DRAFT_SQL} SELECT draft_id, (coalesce(length(title), 0) + coalesce(length(notes), 0)) // 4 AS tokens FROM drafts")
+@query(f"WITH {DRAFT_SQL} SELECT draft_id, tokens FROM sized")
 def draft_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drafts(spark, sf_dir).select("draft_id", F.floor((F.coalesce(F.length("title"), F.lit(0)) + F.coalesce(F.length("notes"), F.lit(0))) / 4).alias("tokens"))
+    return _drafts(spark, sf_dir).select("draft_id", draft_size(F.col("title"), F.col("columns"), F.lit("[]"), F.col("rows"), F.col("notes")).alias("tokens"))
 
 
-@query(f"WITH {DRAFT_SQL} SELECT draft_id, title IS NOT NULL AND pending > 0 AS success, CASE WHEN title IS NULL THEN 'Draft has no title' WHEN pending = 0 THEN 'Draft has no rows' END AS error FROM drafts")
+@query(f"WITH {DRAFT_SQL} SELECT draft_id, columns <> '[]' AND intent IS NOT NULL AS success, CASE WHEN columns = '[]' THEN 'Draft has no columns defined' WHEN intent IS NULL THEN 'Draft has no intent defined' END AS error, CASE WHEN columns <> '[]' AND intent IS NOT NULL THEN good END AS added, CASE WHEN columns <> '[]' AND intent IS NOT NULL THEN pending - good END AS rejected FROM drafts")
 def draft_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which drafts become tables; rejected ones are reported, none vanishes."""
-    error = F.when(F.col("title").isNull(), "Draft has no title").when(F.col("pending") == 0, "Draft has no rows")
-    return _drafts(spark, sf_dir).select("draft_id", error.isNull().alias("success"), error.alias("error"))
+    """Which drafts become tables, and how many of their rows pass; a draft needs columns and an intent, no title or rows."""
+    error = F.when(F.json_array_length("columns") == 0, "Draft has no columns defined").when(F.col("intent").isNull(), "Draft has no intent defined")
+    made = lambda c: F.when(error.isNull(), c)
+    return _drafts(spark, sf_dir).select("draft_id", error.isNull().alias("success"), error.alias("error"), made(F.col("good")).alias("added"), made(F.col("pending") - F.col("good")).alias("rejected"))
 
 
-def workbook(rows: DataFrame, table_id: str, source: str = "", comparison: bool = False, most: int = 100_000) -> bytes:
-    """One table's sheet. A sheet holds no more than about a million rows; a table of more than ``most`` is refused, none is cut. Rows come partition by partition."""
+def workbook(rows: DataFrame, table_id: str, source: str = "", comparison: bool = False, most: int = 1_048_573) -> bytes:
+    """One table's sheet. A sheet holds 1,048,576 rows with title, source and header; a table of more is refused, none is cut. Rows come partition by partition."""
     own = rows.where(F.col("table_id") == table_id)
     if own.limit(most + 1).count() > most:
         raise ValueError(f"table {table_id} has more than {most} rows")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pytext import slug, token_estimate
+from ..functions.pytext import slug, strip, token_estimate
 from ..plans.registry import query, read
 
 #: Media types by ending.
-MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp"}
+MEDIA = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
 #: Document types by terms of which three must occur, in this order.
 TERMS = {
     "medical": ("patient", "diagnosis", "treatment", "clinical", "drug", "dose", "mg", "ml", "syndrome", "disease"),
@@ -70,9 +70,10 @@ def doc_id_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", valid(F.col("url")).alias("plain"), valid(made).alias("made"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'image/png' WHEN doc_id % 6 IN (1, 2) THEN 'image/jpeg' WHEN doc_id % 6 = 3 THEN 'image/gif' WHEN doc_id % 6 = 4 THEN 'image/webp' ELSE 'image/png' END AS media FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'image/png' WHEN doc_id % 6 IN (1, 2) THEN 'image/jpeg' WHEN doc_id % 6 = 3 THEN 'image/gif' WHEN doc_id % 6 = 4 THEN 'image/webp' WHEN doc_id % 60 = 5 THEN 'image/png' ELSE 'image/bmp' END AS media FROM documents")
 def media_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.element_at(F.array(*map(F.lit, ("PNG", "jpg", "JPEG", "gif", "webp", "bmp"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    ending = F.when(F.col("doc_id") % 60 == 5, "tiff").otherwise(ending)
     return read(spark, sf_dir, "documents").select("doc_id", media_type(ending).alias("media"))
 
 
@@ -154,8 +155,19 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_validate(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if("success").alias("succeeded"))
 
 
-@query("SELECT item_id, '| ' || array_to_string(list_transform(string_split(text, ' ')[1:4], lambda x: trim(x)), ' | ') || ' |' || chr(10) || '| --- | --- | --- | --- |' AS md FROM benchmark")
+def pipe_rows(cells: Column) -> Column:
+    """Pipe markdown of rows of cells: each cell stripped, nothing for null or empty; a rule of as many columns follows the first row."""
+    line = lambda row: F.concat(F.lit("| "), F.array_join(F.transform(row, lambda x: F.coalesce(strip(x), F.lit(""))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(F.element_at(cells, 1), lambda x: F.lit("---")), " | "), F.lit(" |"))
+    return F.array_join(F.concat(F.array(line(F.element_at(cells, 1)), rule), F.transform(F.slice(cells, 2, F.size(cells)), line)), "\n")
+
+
+@query(
+    "WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), r AS (SELECT item_id, unnest(range(0, (len(ws) + 3) // 4)) AS k, ws FROM w), l AS (SELECT item_id, k, '| ' || array_to_string(list_transform(ws[k * 4 + 1 : k * 4 + 4], lambda x: trim(x)), ' | ') || ' |' AS line, least(len(ws), 4) AS n FROM r) "
+    "SELECT item_id, string_agg(line || CASE WHEN k = 0 THEN chr(10) || '| ' || array_to_string(list_transform(range(0, n), lambda x: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY k) AS md FROM l GROUP BY item_id"
+)
 def render_pipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells to pipe markdown: the header row and its rule."""
-    cells = F.transform(F.slice(F.split("text", " "), 1, 4), lambda x: F.coalesce(F.trim(x), F.lit("")))
-    return read(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |\n| --- | --- | --- | --- |")).alias("md"))
+    """All words of each item as a table, four cells a row."""
+    words = F.split("text", " ")
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 4).cast("int")), lambda k: F.slice(words, k * 4 + 1, F.lit(4)))
+    return read(spark, sf_dir, "benchmark").select("item_id", pipe_rows(rows).alias("md"))
