@@ -33,19 +33,32 @@ def basic(text: Column, size: int, overlap: int, least: int, sentences: bool = T
     steps = F.sequence(F.lit(1), F.floor(n / (cut + 1 - overlap)).cast("int") + 2)
 
     def step(a, _):
-        s = a["s"]
-        tail = F.substring(text, s + cut + 1, F.lit(size - cut))
-        end = F.length(F.regexp_extract(tail, f"(?s)^(.*[{TERMINATORS}])", 1))
-        long = F.when(end > 0, end + cut).otherwise(size) if sentences else F.lit(size)
-        last = s + size >= n
-        took = F.when(last, n - s).otherwise(long)
-        out = F.when(took >= least, F.concat(a["out"], F.array(F.struct(s.alias("start"), took.cast("int").alias("len"))))).otherwise(a["out"])
-        return F.when(a["done"], a).otherwise(F.struct((s + long - overlap).cast("int").alias("s"), last.alias("done"), out.cast(SPAN).alias("out")))
-
-    zero = F.struct(F.lit(0).alias("s"), F.lit(False).alias("done"), F.array().cast(SPAN).alias("out"))
+        # Each is computed once a step, by way of an array of one element: how far the last sentence reaches into the tail, then how far the chunk does.
+        s, n = a["s"], a["n"]
+        reach = F.transform(F.array(F.substring(text, s + cut + 1, F.lit(size - cut))), lambda t: F.length(F.regexp_extract(t, f"(?s)^(.*[{TERMINATORS}])", 1)) if sentences else F.lit(0))
+
+        def move(end):
+            long, last = F.when(end > 0, end + cut).otherwise(size), s + size >= n
+            took = F.when(last, n - s).otherwise(long)
+            out = F.when(took >= least, F.concat(a["out"], F.array(F.struct(s.alias("start"), took.cast("int").alias("len"))))).otherwise(a["out"])
+            return F.struct((s + long - overlap).cast("int").alias("s"), last.alias("done"), n.alias("n"), out.cast(SPAN).alias("out"))
+
+        return F.when(a["done"], a).otherwise(F.element_at(F.transform(reach, move), 1))
+
+    zero = F.struct(F.lit(0).alias("s"), F.lit(False).alias("done"), n.alias("n"), F.array().cast(SPAN).alias("out"))
     return F.aggregate(steps, zero, step, lambda a: a["out"])
 
 
+def basic_chunks(text: Column, size: int, overlap: int, least: int) -> Column:
+    """`basic` as (page, heading, text), both without value."""
+    return F.transform(spans_text(text, basic(text, size, overlap, least)), lambda t: F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("heading"), t.alias("text")))
+
+
+def semantic_chunks(text: Column, size: int, overlap: int, least: int) -> Column:
+    """`semantic` as (page, heading, text), the page without value."""
+    return F.transform(semantic(text, size, overlap, least), lambda c: F.struct(F.lit(None).cast("int").alias("page"), c["heading"].alias("heading"), c["text"].alias("text")))
+
+
 def spans_text(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.substring(text, x["start"] + 1, x["len"]))
 
@@ -108,23 +121,31 @@ def page_aware(text: Column, size: int, overlap: int, least: int) -> Column:
     return F.when(F.size(numbers) > 0, F.flatten(F.transform(bodies, cut))).otherwise(plain)
 
 
-def smart(docs: DataFrame, text: str = "text", filename: str = "filename", strategy: str = "auto") -> DataFrame:
-    """doc_id, kind, index, page, heading, chunk: each document's type picks its preset; ``auto`` is by pages where a marker stands, else semantic; an unknown strategy is semantic."""
+def smart(docs: DataFrame, text: str = "text", filename: str = "filename", strategy: str = "auto", custom: tuple[int, int, int] | None = None) -> DataFrame:
+    """doc_id, kind, index, page, heading, chunk: each document's type picks its preset, or ``custom`` (size, overlap, least) holds for all; ``auto`` is by pages where a marker stands, else semantic; an unknown strategy is semantic."""
+    from ..plans.extensions import chunker
+
     kinds = docs.select("doc_id", F.col(text).alias("text"), doc_type(F.col(text), F.col(filename)).alias("kind"))
-    t, cut = F.col("text"), F.lit(None).cast("array<struct<page:int,heading:string,text:string>>")
-    plain = lambda chunks: F.transform(chunks, lambda c: F.struct(F.lit(None).cast("int").alias("page"), c["heading"].alias("heading"), c["text"].alias("text")))
-    bare = lambda texts: F.transform(texts, lambda c: F.struct(F.lit(None).cast("string").alias("heading"), c.alias("text")))
+    cutter = chunker("page_aware" if strategy == "auto" else strategy)
+    cut = F.lit(None).cast("array<struct<page:int,heading:string,text:string>>")
     for kind, (size, overlap) in PRESETS.items():
-        how = (size, overlap, 100)
-        if strategy in ("auto", "page_aware"):
-            chosen = page_aware(t, *how)
-        else:
-            chosen = plain(bare(spans_text(t, basic(t, *how))) if strategy == "basic" else semantic(t, *how))
-        cut = F.when(F.col("kind") == kind, chosen).otherwise(cut)
+        cut = F.when(F.col("kind") == kind, cutter(F.col("text"), *(custom or (size, overlap, 100)))).otherwise(cut)
     out = kinds.select("doc_id", "kind", F.posexplode(cut).alias("index", "c"))
     return out.select("doc_id", "kind", "index", F.col("c.page").alias("page"), F.col("c.heading").alias("heading"), F.col("c.text").alias("chunk"))
 
 
+def located(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """``chunks`` (doc_id, index, chunk, ...) with start_char and end_char: where each stands in its document, the first place not before the chunk before it; null for a chunk that overlap or joined paragraphs made, which stands nowhere as it is."""
+    from pyspark.sql import Window
+
+    found = chunks.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", F.expr("instr(text, chunk)"))
+    start = F.when(F.col("at") > 0, F.col("at") - 1)
+    before = F.max("at").over(Window.partitionBy("doc_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.expr("locate(chunk, text, greatest(coalesce(before, 0), 1))")
+    placed = found.withColumn("before", before).withColumn("start_char", F.when(later > 0, later - 1).otherwise(start))
+    return placed.withColumn("end_char", F.col("start_char") + F.length("chunk")).drop("text", "at", "before")
+
+
 BASIC_SQL = """WITH RECURSIVE walk AS (
   SELECT doc_id, text, length(text) AS n, 0 AS s, false AS done, -1 AS start, 0 AS len FROM documents
   UNION ALL

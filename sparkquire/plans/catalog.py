@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import chunking, geometry, graph, jobs, manifest, records, scalars, views  # noqa: F401  each module registers its own
+from ..operators import chunking, files, geometry, graph, jobs, manifest, records, scalars, tablestore, tools, views  # noqa: F401  each module registers its own
 from ..streaming import feeds  # noqa: F401
 from . import registry
 
