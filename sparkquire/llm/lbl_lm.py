@@ -187,6 +187,19 @@ def token_runs(batch: pa.RecordBatch | pa.Table):
         a = b
 
 
+#: The logistic function at steps of 1/256 from -30 to 30.
+LOGISTIC = (1 / (1 + np.exp(-np.arange(-30 * 256, 30 * 256 + 1) / 256))).astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """The logistic function within 0.2 % of its value, by a table; overwrites ``x``."""
+    np.clip(x, -30, 30, out=x)
+    x += 30
+    x *= 256
+    x += 0.5
+    return LOGISTIC[x.astype(np.int16)]
+
+
 class LogBilinear:
     """score(w | u, v) = q_w . (a_u + b_v) + c_w; context rows hold the position's matrix already multiplied in."""
 
@@ -202,6 +215,7 @@ class LogBilinear:
         order, cdf = r.permutation(len(w)), np.cumsum(self.noise)
         log_noise = (np.log(self.noise) + np.log(NOISE)).astype(np.float32)
         a, b, q, c = self.p
+        order_of: dict[int, np.ndarray] = {}
         if not hasattr(self, "seen"):
             self.seen = [np.full(x.shape, 1e-2, np.float32) for x in self.p]
         for at in range(0, len(w), BLOCK):
@@ -209,14 +223,16 @@ class LogBilinear:
             u, v, y = one[k], two[k], w[k]
             z = np.minimum(np.searchsorted(cdf, r.random(NOISE) * cdf[-1]), SYMBOLS - 1)
             h = a[u] + b[v]
-            gp = 1 / (1 + np.exp(-np.clip((h * q[y]).sum(1) + c[y, 0] - log_noise[y], -30, 30))) - 1
-            gn = 1 / (1 + np.exp(-np.clip(h @ q[z].T + (c[z, 0] - log_noise[z]), -30, 30)))
+            gp = sigmoid((h * q[y]).sum(1) + c[y, 0] - log_noise[y]) - 1
+            gn = h @ q[z].T
+            gn += c[z, 0] - log_noise[z]
+            gn = sigmoid(gn)
             gh = gp[:, None] * q[y] + gn @ q[z]
             for which, idx, g in ((0, u, gh), (1, v, gh), (2, np.append(y, z), np.concatenate([gp[:, None] * h, gn.T @ h])), (3, np.append(y, z), np.append(gp, gn.sum(0))[:, None])):
-                by = np.argsort(idx, kind="stable")
+                by = order_of[which] = order_of[2] if which == 3 else np.argsort(idx.astype(np.uint16), kind="stable")
                 rows = idx[by]
                 first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                rows, g = rows[first], np.add.reduceat(g[by], first) / np.sqrt(len(k))
+                rows, g = rows[first], np.add.reduceat(g[by], first) / np.sqrt(np.float32(len(k)))
                 self.seen[which][rows] += g * g
                 self.p[which][rows] -= rate * g / np.sqrt(self.seen[which][rows])
 
