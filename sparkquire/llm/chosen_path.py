@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free, joined
+from .common import checkpointed, forget, free, stored
 from .components import components
 from .textops import U, chunks, hasher, mix, shingles, spans, unique_in
 
 SHINGLE, SIMILARITY = 5, 0.8
 RUNS, LIMIT, MISS = 6, 200, 1e-3
+#: A leaf of more than BLOCK limits is compared in pairs of blocks of so many.
+BLOCK = 2
 
 
 def tree(n: int, similarity: float, miss: float) -> tuple[int, int]:
@@ -92,16 +94,19 @@ def _paths(number: int, depth: int):
 def _leaves(reps: DataFrame, number: int, limit: int, depth: int) -> DataFrame:
     """node, leaf, depth, size: where each representative ends up in each run of this round; leaves of one are there too."""
     schema = "node long, " + ", ".join(f"p{d} long" for d in range(depth))
-    rows, out = reps.select("node", "least").mapInArrow(_paths(number, depth), schema), None
+    rows, out, before = reps.select("node", "least").mapInArrow(_paths(number, depth), schema), None, None
     for d in range(depth):
-        rows = checkpointed(rows)
-        sizes = rows.groupBy(f"p{d}").agg(F.count("*").alias("size"))
-        sized = joined(rows, sizes, f"p{d}", "size", rows.count())
+        rows, path = stored(rows)
+        if before:
+            forget(reps.sparkSession, before)
+        sized = rows.join(rows.groupBy(f"p{d}").agg(F.count("*").alias("size")), f"p{d}")
         stop = F.lit(True) if d == depth - 1 else F.col("size") <= limit
         ended = checkpointed(sized.where(stop).select("node", F.col(f"p{d}").alias("leaf"), F.lit(d + 1).alias("depth"), "size"))
         out = ended if out is None else out.unionByName(ended)
-        if d == depth - 1 or not (rows := sized.where(~stop).drop("size")).take(1):
-            return out
+        rows, before = sized.where(~stop).drop("size", f"p{d}"), path
+        if d == depth - 1 or not rows.take(1):
+            break
+    forget(reps.sparkSession, before)
     return out
 
 
@@ -227,9 +232,9 @@ def grouped(docs: DataFrame, shingle: int, similarity: float, limit: int, miss:
     shared = leaves.where("size > 1")
     marks = shared.groupBy("leaf").agg(F.max("size").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
     unlike = marks.groupBy("size", "s", "x").agg(F.min("leaf").alias("leaf")).select("leaf", F.col("size").alias("members"))
-    cells = checkpointed(joined(shared, unlike, "leaf", "members", leaves.count()).select("node", "leaf", "members").distinct())
+    cells = checkpointed(shared.join(unlike, "leaf").select("node", "leaf", "members").distinct())
     of = cells.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))
-    parts = F.ceil(F.col("members") / limit).cast("int")
+    parts = F.ceil(F.col("members") / (BLOCK * limit)).cast("int")
     keyed = (
         cells.join(of, "node").join(reps.select("node", "k1", "n", "copies", "doc_id", "mark"), "node")
         .withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
@@ -245,9 +250,9 @@ def grouped(docs: DataFrame, shingle: int, similarity: float, limit: int, miss:
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     per = reps.drop("least", "mark").join(linked, "node", "left").join(own, "node", "left").withColumn("group", F.coalesce("group", "node"))
     per = checkpointed(per.select("k1", "k2", "n", "copies", F.col("doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "group"))
-    least = per.groupBy("group").agg(F.min("class_id").alias("group_id"), F.count("*").alias("size"))
-    per = checkpointed(joined(per, least, "group", "size", per.count()).drop("size"))
-    return joined(signed.drop("least"), per, ["k1", "k2", "n"], "copies", signed.count()).select("doc_id", "mark", "class_id", "n_links", "group", "group_id")
+    least = per.groupBy("group").agg(F.min("class_id").alias("group_id"))
+    per = checkpointed(per.join(least, "group"))
+    return signed.drop("least").join(per, ["k1", "k2", "n"]).select("doc_id", "mark", "class_id", "n_links", "group", "group_id")
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, limit: int = LIMIT, miss: float = MISS) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Spark's setting by which an execution's shuffle files go as soon as it ends.
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: `joined` sends the rows of a key to one task only while they are at most one in HOT of all.
-HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,17 +54,6 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def joined(rows: DataFrame, by: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
-    """``rows``, ``total`` of them at most, joined on ``key`` with ``by``, which holds a row for each key and in ``count`` how many of ``rows`` have it.
-
-    Keys of more than one row in HOT go by broadcast, at most HOT of them, so that their rows stay where they are and no task gets all rows of such a key.
-    """
-    keys, least = [key] if isinstance(key, str) else key, max(total // HOT, 100)
-    often = F.broadcast(by.where(F.col(count) > least))
-    seldom = rows.join(often.select(*keys), keys, "left_anti").join(by.where(F.col(count) <= least), keys)
-    return rows.join(often, keys).unionByName(seldom)
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written as Parquet in the shared folder and read again; its path is for `forget`."""
     spark = df.sparkSession

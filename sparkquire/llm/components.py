@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined
+from .common import checkpointed
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,21 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and edges with a null end are allowed and change
     nothing. Each round is one aggregation and one join a step, checkpointed;
     the number of rounds grows with the logarithm of the longest chain. A node
-    with many neighbours is pre-aggregated before its shuffle, and its edges
-    learn their new end by broadcast, so that no task gets all of them.
+    with many neighbours is pre-aggregated before its shuffle; its edges meet its
+    one aggregated row in a join whose large partitions adaptive execution splits.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct())
     nodes = now.select(F.col("a").alias("node")).union(now.select("b")).distinct()
-    size, mark = now.count(), None
+    mark = None
     while True:
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = checkpointed(joined(both, least, "a", "n", 2 * size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = joined(large, low, "a", "n", 2 * size).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = checkpointed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = checkpointed(small)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        size, mark = seen[0], seen
+        mark = seen
     return nodes.join(now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined
+from .common import checkpointed
 
 CAPACITY = 2048
 _made: dict = {}
@@ -187,6 +187,6 @@ def packed(docs: DataFrame, tokens: Tokens | None = None, capacity: int = CAPACI
         counts[row.length] = row.n
     slots, _ = plan(counts)
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n"))
-    ranked = joined(pieces, before, ["length", "task"], "n", int(counts.sum())).withColumn("rank", F.col("within") + F.col("before"))
+    ranked = pieces.join(before.drop("n"), ["length", "task"]).withColumn("rank", F.col("within") + F.col("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
     return ranked.select(*names, "rank").mapInArrow(_places(slots), f"{schema}{more}, sequence_id long, offset long")

@@ -9,7 +9,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, joined
+from .common import checkpointed
 
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -107,7 +107,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame
     block = how.pop("block", BLOCK)
     index = checkpointed(mined(train, **how).select("rule", "confidence", F.size("items").alias("need"), F.explode("items").alias("token")))
     blocks = max(1, -(-index.count() // block))
-    sets = checkpointed(urls.where("given is null").groupBy("tokens").agg(F.count("*").alias("rows")))
+    sets = checkpointed(urls.where("given is null").select("tokens").distinct())
     fired = None
     for k in range(blocks):
         part = index.where(F.pmod(F.xxhash64("rule"), F.lit(blocks)) == k)
@@ -117,6 +117,6 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, **how) -> DataFrame
     fired = fired.groupBy("tokens").agg(F.min_by("rule", F.struct(-F.col("confidence"), "need", "rule")).alias("mined_rule"))
     judged_sets = checkpointed(sets.join(fired, "tokens", "left"))
     plain = F.lit(None).cast("string").alias("mined_rule")
-    out = joined(urls.where("given is null"), judged_sets, "tokens", "rows", judged_sets.agg(F.sum("rows")).first()[0] or 0).drop("rows").unionByName(urls.where("given is not null").select("*", plain))
+    out = urls.where("given is null").join(judged_sets, "tokens").unionByName(urls.where("given is not null").select("*", plain))
     method = F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", method).alias("verdict"), "mined_rule")

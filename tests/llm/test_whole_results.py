@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkquire.llm import chosen_path, decontam, embedding_dedup, html_crf, lbl_lm, packing, quality_cnn, suffix_dedup, toxicity, url_rules
-from sparkquire.llm.common import joined
 
 from .test_operators import shingle_set
 
@@ -268,9 +267,3 @@ def test_long_texts_are_scored_whole(spark):
     docs = spark.createDataFrame([(k, ("bad words here " if k % 2 else "good calm text ") * (100_000 if k == 39 else 5)) for k in range(40)], "doc_id long, text string")
     assert toxicity.toxicity_scores(docs, labels).count() == quality_cnn.quality_scores(docs, labels).count() == 40
 
-
-def test_join_of_common_keys(spark):
-    rows = spark.createDataFrame([(k % 3 if k < 900 else k, k) for k in range(1500)], "key long, v long")
-    by = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"))
-    got = joined(rows, by, "key", "n", 1500)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(by, "key").collect())) and got.count() == 1500
