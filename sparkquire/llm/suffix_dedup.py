@@ -29,7 +29,9 @@ MOST = 2 * LENGTH - ANCHOR
 WIDE = MOST // 8 * 8 + 8
 SIDE = (LENGTH - ANCHOR) // 2
 BATCH_BYTES, SHARD_BYTES, LEVEL, PACK = 8 << 20, 6 << 20, 1 << 16, 5
-SLICE = 4 << 20
+SLICE = 1 << 20
+#: Rows looked at together.
+STEP = 1 << 16
 #: How many shards a batch addresses; where there are more, a second exchange divides them.
 FAN = 4096
 #: One document in SAMPLE is looked at for anchors that would fill a shard alone, of which there are HOT at most, 8 bytes each.
@@ -74,19 +76,17 @@ def _rows_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return rows
 
 
-def _sized(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Rows as strings that are equal only for equal segments: the size is the last byte."""
-    rows = rows.copy()
-    rows[:, -1] = size
-    return rows.view(f"S{WIDE}").ravel()
-
-
 def _same(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sparse suffix array of segments, their byte order, and where in it a different one begins."""
-    text = _sized(rows, size)
+    """The sparse suffix array of segments, their byte order, and where in it a different one begins. Meanwhile the last byte of a row, else zero, is its size, so that only equal segments are equal."""
+    rows[:, -1] = size
+    text = rows.view(f"S{WIDE}").ravel()
     order = np.argsort(text, kind="stable")
-    text = text[order]
-    return order, np.append(np.ones(min(1, len(order)), bool), text[1:] != text[:-1])
+    new = np.ones(len(order), bool)
+    for k in range(1, len(order), STEP):
+        part = text[order[k - 1 : k + STEP]]
+        new[k : k + STEP] = part[1:] != part[:-1]
+    rows[:, -1] = 0
+    return order, new
 
 
 def _later(doc: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -130,16 +130,26 @@ def _sums(rows: np.ndarray) -> np.ndarray:
     return mix((rows.view(U) * _ROW[: rows.shape[1] // 8]).sum(1))
 
 
+def _part_sums(rows: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` bytes of each row from ``begin``."""
+    out, part = np.empty(len(rows), U), np.zeros((min(STEP, len(rows)), -(-n // 8) * 8), np.uint8)
+    for k in range(0, len(rows), STEP):
+        some = rows[k : k + STEP]
+        part[: len(some), :n] = np.take_along_axis(some, begin[k : k + STEP, None] + np.arange(n), 1)
+        out[k : k + STEP] = _sums(part[: len(some)])
+    return out
+
+
 def _key(rows: np.ndarray, off: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """What equal windows share: a hash of the segment's anchor, or of all of a ``whole`` segment, which is one window."""
-    key = _sums(np.take_along_axis(rows, off[:, None] + np.arange(ANCHOR), 1))
+    key = _part_sums(rows, off, ANCHOR)
     if whole.any():
         key[whole] = _sums(rows[whole])
     return key
 
 
 def _loads(shard: np.ndarray, shards: int, doc, mark, pos, size, off, whole, rows):
-    """(shard, packed segments) for each of the shards that has some."""
+    """(shard, packed segments) for each of the shards that has some; rows of shard ``shards`` are left out."""
     keep = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[keep], np.arange(shards + 1))
     pack = zstandard.ZstdCompressor(level=PACK)
@@ -150,6 +160,11 @@ def _loads(shard: np.ndarray, shards: int, doc, mark, pos, size, off, whole, row
         yield int(s), pack.compress(b"".join(p.tobytes() for p in parts))
 
 
+def _joint(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """The columns of all lists, which are emptied on the way."""
+    return [np.concatenate([x.pop(0) for x in held]) for _ in held[0][:]]
+
+
 def _split(doc, mark, pos, size, off, anchor, rows, hot):
     """The segments, those with a hot anchor as single windows, and which these are."""
     whole = np.isin(anchor, hot)
@@ -169,11 +184,10 @@ def _segments(shards: int, hot: np.ndarray):
     """For each shard a packed load of segments (doc_id null), and intervals already settled in this batch, which only pass through a shard."""
 
     def settle(held):
-        doc, mark, pos, size, off, whole, rows = _split(*(np.concatenate(x) for x in zip(*held)), hot)
+        doc, mark, pos, size, off, whole, rows = _split(*_joint(held), hot)
         later = _later(doc, *_same(rows, size))
         out = [(r[0] % shards, *r) for r in _joined(doc[later], mark[later], pos[later], pos[later] + size[later])]
-        doc, mark, pos, size, off, whole, rows = (x[~later] for x in (doc, mark, pos, size, off, whole, rows))
-        shard = (_key(rows, off, whole) % U(shards)).astype(np.int64)
+        shard = np.where(later, shards, (_key(rows, off, whole) % U(shards)).astype(np.int64))
         return out + [(s, None, None, load) for s, load in _loads(shard, shards, doc, mark, pos, size, off, whole, rows)]
 
     def run(batches):
@@ -186,7 +200,7 @@ def _segments(shards: int, hot: np.ndarray):
                     start, count, anchor, h = windows(part, np.array([0, len(part)]) if b == a + 1 else offs)
                     row = np.searchsorted(offs, start + lo, "right") - 1
                     size = count + LENGTH - 1
-                    held.append((ids[a + row], marks[a + row], start + lo - offs[row], size, anchor - start, h, _rows_of(part, start, size)))
+                    held.append([ids[a + row], marks[a + row], start + lo - offs[row], size, anchor - start, h, _rows_of(part, start, size)])
                     total += len(part)
                     if total >= BATCH_BYTES:
                         yield _out(settle(held))
@@ -206,10 +220,10 @@ def _divide(fine: int):
             yield from group.filter(group.column("doc_id").is_valid()).to_batches()
             held, total = [], 0
             for k, load in enumerate(loads):
-                held.append(_unpack(load))
+                held.append(list(_unpack(load)))
                 total += held[-1][-1].size
                 if total >= 4 * BATCH_BYTES or k + 1 == len(loads):
-                    doc, mark, pos, size, off, whole, rows = (np.concatenate(x) for x in zip(*held))
+                    doc, mark, pos, size, off, whole, rows = _joint(held)
                     part = (mix(_key(rows, off, whole) ^ U(BASE)) % U(fine)).astype(np.int64)
                     yield _out([(shard * fine + s, None, None, x) for s, x in _loads(part, fine, doc, mark, pos, size, off, whole, rows)])
                     held, total = [], 0
@@ -320,9 +334,7 @@ def _meeting(rows: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarra
     for begin, have in ((off, size - off >= ANCHOR + SIDE), (off - SIDE, off >= SIDE)):
         k = np.flatnonzero(have)
         if len(k):
-            part = np.zeros((len(k), 40), np.uint8)
-            part[:, : ANCHOR + SIDE] = np.take_along_axis(rows[k], begin[k, None] + np.arange(ANCHOR + SIDE), 1)
-            out[k] |= _several(_sums(part), doc[k])
+            out[k] |= _several(_part_sums(rows[k], begin[k], ANCHOR + SIDE), doc[k])
     return out
 
 
@@ -332,7 +344,7 @@ def _shard(table: pa.Table) -> pa.Table:
     loads = table.filter(table.column("doc_id").is_null()).column("load").to_pylist()
     if not loads:
         return settled
-    doc, mark, pos, size, off, whole, rows = (np.concatenate(x) for x in zip(*map(_unpack, loads)))
+    doc, mark, pos, size, off, whole, rows = _joint([list(_unpack(x)) for x in loads])
     use = np.flatnonzero(_several(_key(rows, off, whole), doc))
     use = use[_meeting(rows[use], size[use], off[use], doc[use])] if len(use) else use
     found = []
